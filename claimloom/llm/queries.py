@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, chat, quality, secret_scan, token_counts
+from claimloom.llm import bpe, chat, minhash, quality, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,20 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(kind(k).alias(f"n_{k}") for k in secret_scan.BASE), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("secrets")).alias("spans"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+OP8_SQL = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+links as (select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id having 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach as (select doc_id as a, doc_id as b from s union select r.a, l.b from reach r join links l on r.b = l.a)
+select s.doc_id, cast(len(sh) as bigint) as n_shingles, min(b) as component_id, s.doc_id = min(b) as kept from s join reach r on r.a = s.doc_id group by s.doc_id, len(sh)
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
@@ -68,5 +82,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op4_token_counts, op6_secret_scan, op9_bpe, op10_quality_rules)}
-ORACLES = {"op2_chat_format": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op4_token_counts, op6_secret_scan, op8_near_dedup, op9_bpe, op10_quality_rules)}
+ORACLES = {"op2_chat_format": OP2_SQL, "op8_near_dedup": OP8_SQL}
