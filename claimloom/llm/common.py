@@ -41,13 +41,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written as Parquet in the shared folder and read again: lineage ends here.
 
-    Losing an executor later costs a read, never a recomputation.
+    Losing an executor later costs a read, never a recomputation. The collection lets Spark's cleaner
+    delete the shuffle files of the finished job, whose plan nothing refers to any longer.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes `written` tables from which everything that is still needed has itself been written."""
+    for t in tables:
+        _delete(t.sparkSession, t._written)
 
 
 def arrow_limits(spark: SparkSession) -> None:

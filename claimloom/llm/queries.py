@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, chat, minhash, quality, secret_scan, token_counts
+from claimloom.llm import bpe, chat, minhash, quality, repeats, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ from rows_ group by conv_id
 """
 
 
+def op3_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), threshold=200, with_text=False)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with three edits that its id and length fix: a replacement, an insertion and a deletion at the end."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,5 +86,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op4_token_counts, op6_secret_scan, op8_near_dedup, op9_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_repeated_text, op4_token_counts, op6_secret_scan, op8_near_dedup, op9_bpe, op10_quality_rules)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op8_near_dedup": OP8_SQL}
