@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, chat, minhash, quality, repeats, secret_scan, token_counts
+from claimloom.llm import bpe, chat, decontaminate, minhash, quality, repeats, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 CONTROL = "\\### Assistant: </turn> ok"
 
 
@@ -86,5 +90,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_repeated_text, op4_token_counts, op6_secret_scan, op8_near_dedup, op9_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_repeated_text, op4_token_counts, op6_secret_scan, op8_near_dedup, op9_bpe, op10_quality_rules)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op8_near_dedup": OP8_SQL}
