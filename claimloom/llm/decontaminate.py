@@ -30,9 +30,13 @@ _LANE = 21
 
 
 def shingle_codes(text: Column, words: int) -> Column:
-    """Hash and weight of every shingle in order; empty where there are fewer words."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.when(F.size(w) >= words, _codes(w, words)).otherwise(F.array().cast("array<bigint>"))
+    """Hash and weight of every shingle in order; empty where there are fewer words.
+
+    The words are bound as a lambda's variable: named twice as an expression they would be cut anew
+    for every shingle.
+    """
+    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.transform(F.array(found), lambda w: F.when(F.size(w) >= words, _codes(w, words)).otherwise(F.array().cast("array<bigint>")))[0]
 
 
 def _codes(w: Column, words: int) -> Column:
@@ -84,8 +88,9 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80,
     seeds = contents.select("size", F.posexplode("codes").alias("offset", "code")).distinct()
     if seeds.count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
-    texts = docs.select(docs[id_col].alias("doc_id"), shingle_codes(F.coalesce(docs[text_col].cast("string"), F.lit("")), words).alias("codes")).where(F.size("codes") > 0)
-    hits = texts.select("doc_id", "codes", F.posexplode("codes").alias("place", "code")).join(seeds, "code")
+    texts = docs.select(docs[id_col].alias("doc_id"), shingle_codes(F.coalesce(docs[text_col].cast("string"), F.lit("")), words).alias("codes"))
+    # an outer explode: a filter for empty arrays would be pushed below and cut the words twice
+    hits = texts.select("doc_id", "codes", F.posexplode_outer("codes").alias("place", "code")).join(seeds, "code")
     most = F.size("codes") + (words - 1) - F.col("size")  # the last start
     hits = hits.withColumn("at", F.greatest(F.least(F.col("place") - F.col("offset"), most), F.lit(0)))
     window = F.slice("codes", F.col("at") + 1, F.greatest(F.col("size") - (words - 1), F.lit(1)))
