@@ -55,25 +55,29 @@ def format_trees(messages: DataFrame, branches: int | None = 1, loss_role: str =
     own = (F.col("conv_id").eqNullSafe(F.col("c"))) & (F.col("parent") == F.col("n"))
     size = links.groupBy("conv_id").count().agg(F.max("count")).head()[0] or 1
 
-    level = links.join(nodes, own, "left").select("conv_id", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("far"), "score")
-    level = written(level.withColumn("far", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.col("far"))), "chat-level")
-    levels = [level]
-    for _ in range((size - 1).bit_length()):
-        above = level.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("next_up"), F.col("far").alias("more"), F.col("score").alias("gain"))
-        on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n"))
-        # `score` covers the messages from the node up to, not including, `up`
-        level = written(level.join(above, on, "left").select("conv_id", "node", F.col("next_up").alias("up"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score")), "chat-level")
-        levels.append(level)
+    level = links.join(nodes, own, "left").select("conv_id", "node", F.col("n").alias("up"), F.when(F.col("n").isNull(), 0).otherwise(1).cast("long").alias("far"), "score")
+    level = written(level, "chat-level")
+    done, open_ = level.where("up is null"), level.where("up is not null")
+    levels = []
+    on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n"))
+    for _ in range((size - 1).bit_length()):  # what is still open then lies on a cycle
+        if open_.isEmpty():
+            break
+        levels.append(open_)
+        # only messages that haven't met their root are joined; `score` covers the messages from the node up to, not including, `up`
+        above = done.unionByName(open_).select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("next_up"), F.col("far").alias("more"), F.col("score").alias("gain"))
+        level = written(open_.join(above, on).select("conv_id", "node", F.col("next_up").alias("up"), (F.col("far") + F.col("more")).alias("far"), (F.col("score") + F.col("gain")).alias("score")), "chat-level")
+        done, open_ = done.unionByName(level.where("up is null")), level.where("up is not null")
 
     answered = links.where("parent is not null").select(F.col("conv_id").alias("c"), F.col("parent").alias("n")).distinct()
-    leaves = level.where("up is null").join(answered, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left_anti")
+    leaves = done.join(answered, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("far"), "node"))
     chosen = leaves.withColumn("branch", rank)
     if branches is not None:
         chosen = chosen.where(F.col("branch") <= branches)
     path = chosen.select("conv_id", F.col("node").alias("leaf"), "branch", F.col("score").alias("path_score"), F.col("far").alias("depth"), "node")
-    for step in reversed(levels[:-1] or levels):
-        jump = step.where("up is not null").select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up", "far")
+    for step in reversed(levels):
+        jump = step.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up", "far")
         hop = F.array(F.struct("node", "depth"), F.struct(F.col("up").alias("node"), (F.col("depth") - F.col("far")).alias("depth")))
         path = path.join(jump, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left").select("conv_id", "leaf", "branch", "path_score", F.explode(hop).alias("hop")).select("conv_id", "leaf", "branch", "path_score", "hop.node", "hop.depth").where("node is not null")
 
