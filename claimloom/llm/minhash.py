@@ -32,8 +32,8 @@ BANDS, ROWS, BATCH = 32, 4, 16
 HASHES = BANDS * ROWS
 #: The chance, at each batch, that a pair at the threshold is dropped.
 MISS = 1e-9
-#: Texts on either side of a block of an unresolved bucket.
-BLOCK = 256
+#: Texts and bytes of text at most (beyond one text) in a block of an unresolved bucket.
+BLOCK, BLOCK_BYTES = 1024, 16_000_000
 #: Pairs that one copy of a popular text serves.
 SPREAD = 64
 
@@ -184,11 +184,14 @@ def components(edges: DataFrame) -> DataFrame:
 def _blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links across components inside unresolved buckets. `members`: bucket, set_id, root.
 
-    Each bucket is cut into blocks of BLOCK texts; every pair of blocks (one with itself included) is
-    one unit of work, in which pairs of different components are compared until joined.
+    Each bucket is cut into blocks of BLOCK texts and BLOCK_BYTES; every pair of blocks (one with
+    itself included) is one unit of work, in which pairs of different components are compared until
+    joined.
     """
     w = Window.partitionBy("bucket").orderBy("set_id")
-    m = members.select("bucket", "set_id", "root", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int").alias("block"))
+    m = members.join(texts.select("set_id", F.octet_length("text").cast("long").alias("bytes")), "set_id")
+    before = F.row_number().over(w) / BLOCK + F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / BLOCK_BYTES
+    m = m.select("bucket", "set_id", "root", F.floor(before).cast("int").alias("block"))
     last = m.groupBy("bucket").agg(F.max("block").alias("last"))
     m = m.join(last, "bucket")
     other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
