@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C13)
+BASE = U(0x9E3779B97F4A7C13)
 _RNG = np.random.default_rng(20240229)
-_TABLE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+TABLE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _MIX = [int(x) | 1 for x in _RNG.integers(0, 1 << 63, 64, dtype=np.uint64)]
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
+_INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -30,7 +30,7 @@ class _Powers:
         return self.have[:n]
 
 
-_UP, _DOWN = _Powers(_BASE), _Powers(_INVERSE)
+_UP, _DOWN = _Powers(BASE), _Powers(_INVERSE)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,7 +48,7 @@ class Rolled:
         self.n = len(raw)
         self.sums = np.zeros(self.n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(_TABLE[raw] * _UP.upto(self.n), out=self.sums[1:])
+            np.cumsum(TABLE[raw] * _UP.upto(self.n), out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -10,7 +10,9 @@ Suffixes are ordered only through the threshold of T bytes, and only where one c
    this digit are repeated in all these windows; one of them stands for the others from here on.
 3. Last digits: where one anchor has several contexts, each window over it is a suffix of T bytes;
    equal groups of these are exactly the repeated windows. Groups of up to GROUP contexts are sorted
-   in one task; windows of larger ones are dealt to all tasks and counted there.
+   in one task, shift by shift. Larger ones take one digit more: a window over an anchor holds half of
+   T - K bytes on its left or on its right, so contexts that share neither half with another go; the
+   others' windows are dealt to all tasks and counted there.
 
 Digits are 64-bit hashes of bytes, compared only between windows that lie alike over equal anchors.
 """
@@ -24,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import arrow_limits, dropped, fields, map_rows, written
-from claimloom.llm.hashing import Rolled, U, mixed
+from claimloom.llm.hashing import BASE, TABLE, Rolled, U, mixed
 
 K = 32
-#: Contexts of one anchor that one task sorts, and contexts that it takes at once.
-GROUP, CHUNK = 4096, 4096
+#: Contexts of one anchor that one task sorts (about 0.5 kB each), and contexts that it takes at once.
+GROUP, CHUNK = 100_000, 4096
 
 
 def slid(x: np.ndarray, w: int, op, fill) -> np.ndarray:
@@ -60,41 +62,46 @@ def anchors(raw: bytes, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return at, grams[at].view(np.int64), context.view(np.int64), end
 
 
-def window_hashes(contexts: list[bytes], left: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context and each shift s of 0..t-K: the hash of the window that starts s bytes before
-    the anchor, and whether the context holds it."""
+def _aligned(contexts: list[bytes], left: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts as columns, their anchors one below another, and their sizes."""
     span = t - K
     wide = np.zeros((len(contexts), span + t), np.uint8)
-    sizes = np.zeros(len(contexts), np.int64)
     for i, c in enumerate(contexts):
         at = span - left[i]
         wide[i, at : at + len(c)] = np.frombuffer(c, np.uint8)
-        sizes[i] = len(c)
-    sums = Rolled(wide.ravel()).sums
-    row = np.arange(len(contexts))[:, None] * (span + t)
-    start = row + (span - np.arange(span + 1))[None, :]
-    hashes = Rolled.ranges(_Sums(sums), start, start + t)
-    shift = np.arange(span + 1)[None, :]
-    return hashes, (shift <= left[:, None]) & (t - shift <= (sizes - left)[:, None])
+    return np.ascontiguousarray(wide.T), np.array([len(c) for c in contexts], np.int64)
 
 
-class _Sums:
-    def __init__(self, sums: np.ndarray):
-        self.sums, self.n = sums, len(sums) - 1
+def shifted_windows(contexts: list[bytes], left: np.ndarray, t: int):
+    """For each shift s of 0..t-K: the hashes of the windows that start s bytes before the anchors,
+    and which contexts hold theirs."""
+    wide, sizes = _aligned(contexts, left, t)
+    table, base, span = TABLE, BASE, t - K
+    with np.errstate(over="ignore"):
+        top = U(pow(int(base), t - 1, 1 << 64))
+        now = np.zeros(len(contexts), np.uint64)
+        for c in range(span + t - 1, span - 1, -1):
+            now = now * base + table[wide[c]]
+        for s in range(span + 1):
+            if s:
+                now = (now - table[wide[span + t - s]] * top) * base + table[wide[span - s]]
+            yield mixed(now), (s <= left) & (t - s <= sizes - left)
 
 
-def twice_in(groups: np.ndarray, hashes: np.ndarray, held: np.ndarray) -> np.ndarray:
+def twice_in(groups: np.ndarray, contexts: list[bytes], left: np.ndarray, t: int) -> np.ndarray:
     """Which windows (contexts x shifts) are equal to another of the same group and shift."""
-    with np.errstate(over="ignore"):
-        keys = mixed(hashes + mixed(groups.view(np.uint64))[:, None] + mixed(np.arange(hashes.shape[1], dtype=np.uint64))[None, :])
-    at = np.flatnonzero(held.ravel())
-    flat = keys.ravel()[at]
-    order = np.argsort(flat)
-    same = flat[order][1:] == flat[order][:-1]
-    out = np.zeros(held.size, bool)
-    out[at[order[1:][same]]] = True
-    out[at[order[:-1][same]]] = True
-    return out.reshape(held.shape)
+    out = np.zeros((len(contexts), t - K + 1), bool)
+    salt = mixed(groups.view(np.uint64))
+    for s, (hashes, held) in enumerate(shifted_windows(contexts, left, t)):
+        at = np.flatnonzero(held)
+        with np.errstate(over="ignore"):
+            keys = (hashes + salt)[at]
+        order = np.argsort(keys)
+        ranked = keys[order]
+        same = ranked[1:] == ranked[:-1]
+        out[at[order[1:][same]], s] = True
+        out[at[order[:-1][same]], s] = True
+    return out
 
 
 def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +160,7 @@ def _sorted_groups(contexts: DataFrame, t: int) -> DataFrame:
     def found(grams, keys, at, left, raw):
         import pyarrow as pa
 
-        hashes, held = window_hashes(raw, left, t)
-        hit = twice_in(grams, hashes, held)
+        hit = twice_in(grams, raw, left, t)
         row, shift = np.nonzero(hit[:, ::-1])  # by start
         if not len(row):
             return None
@@ -188,21 +194,44 @@ def _sorted_groups(contexts: DataFrame, t: int) -> DataFrame:
     return rows.mapInArrow(run, fields("key bigint, start int, stop int"))
 
 
+def _halves(contexts: DataFrame, t: int) -> DataFrame:
+    """The contexts that share the half on their anchor's left, or on its right, with another of their group."""
+    half = (t - K) // 2
+
+    def make():
+        def step(cols):
+            out = {"gram": [], "key": [], "at": [], "side": [], "half": []}
+            for gram, key, at, left, raw in zip(*(cols[n].to_pylist() for n in ("gram", "key", "at", "left", "bytes")), strict=True):
+                for side, part in enumerate((raw[max(0, left - half) : left], raw[left + K : left + K + half])):
+                    if len(part) == half:
+                        for n, x in zip(out, (gram, key, at, side, hashlib.blake2b(part, digest_size=16).digest()), strict=True):
+                            out[n].append(x)
+            return out
+
+        return step
+
+    rows = map_rows(contexts.select("gram", "key", "at", "left", "bytes"), fields("gram bigint, key bigint, at int, side int, half binary"), make)
+    shared = rows.groupBy("gram", "side", "half").count().where("count > 1").drop("count")
+    return contexts.join(rows.join(shared, ["gram", "side", "half"]).select("gram", "key", "at").distinct(), ["gram", "key", "at"])
+
+
 def _dealt_groups(contexts: DataFrame, t: int) -> DataFrame:
     """The same for larger groups: a row for each window, counted after partial sums."""
     schema = fields("gram bigint, shift int, window bigint, key bigint, start int")
 
     def make():
         def step(cols):
-            left = cols["left"].to_numpy().astype(np.int64)
-            hashes, held = window_hashes(cols["bytes"].to_pylist(), left, t)
-            row, shift = np.nonzero(held)
-            at = cols["at"].to_numpy()[row]
-            return {"gram": cols["gram"].to_numpy()[row], "shift": shift.astype(np.int32), "window": hashes[row, shift].view(np.int64), "key": cols["key"].to_numpy()[row], "start": (at - shift).astype(np.int32)}
+            left, at, gram, key = (cols[n].to_numpy().astype(np.int64) for n in ("left", "at", "gram", "key"))
+            out = {n: [] for n in schema.fieldNames()}
+            for s, (hashes, held) in enumerate(shifted_windows(cols["bytes"].to_pylist(), left, t)):
+                parts = gram[held], np.full(held.sum(), s, np.int32), hashes[held].view(np.int64), key[held], (at[held] - s).astype(np.int32)
+                for n, x in zip(out, parts, strict=True):
+                    out[n].append(x)
+            return {n: np.concatenate(x) for n, x in out.items()}
 
         return step
 
-    rows = map_rows(contexts.select("gram", "key", "at", "left", "bytes"), schema, make)
+    rows = map_rows(_halves(contexts, t).select("gram", "key", "at", "left", "bytes"), schema, make)
     twice = rows.groupBy("gram", "shift", "window").count().where("count > 1").drop("count")
     return rows.join(twice, ["gram", "shift", "window"]).select("key", "start", (F.col("start") + t).alias("stop"))
 
