@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, chat, decontaminate, minhash, quality, repeats, secret_scan, token_counts
+from claimloom.llm import bpe, chat, decontaminate, minhash, pii, quality, repeats, secret_scan, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts_after_edits(docs.withColumn("edits", edits), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_texts(_table(spark, sf_dir, "documents"))
     kind = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
@@ -68,6 +78,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(kind(k).alias(f"n_{k}") for k in secret_scan.BASE), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("secrets")).alias("spans"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    spelled = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE), F.sha2(spelled(of(*pii.BASE)), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -90,5 +107,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_repeated_text, op4_token_counts, op6_secret_scan, op8_near_dedup, op9_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_repeated_text, op4_token_counts, op5_toxicity, op6_secret_scan, op7_pii, op8_near_dedup, op9_bpe, op10_quality_rules)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op8_near_dedup": OP8_SQL}
