@@ -161,13 +161,17 @@ def _sorted_groups(contexts: DataFrame, t: int) -> DataFrame:
         import pyarrow as pa
 
         hit = twice_in(grams, raw, left, t)
-        row, shift = np.nonzero(hit[:, ::-1])  # by start
-        if not len(row):
+        parts = []
+        for low in range(0, len(hit), CHUNK):  # a row's windows become a few runs before the next rows unfold
+            row, shift = np.nonzero(hit[low : low + CHUNK, ::-1])  # by start
+            if len(row):
+                start = at[low + row] - (t - K - shift)
+                cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + t))))
+                last = np.concatenate((cut[1:] - 1, [len(row) - 1]))
+                parts.append((keys[low + row[cut]], start[cut].astype(np.int32), (start[last] + t).astype(np.int32)))
+        if not parts:
             return None
-        start = at[row] - (t - K - shift)
-        cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + t))))
-        last = np.concatenate((cut[1:] - 1, [len(row) - 1]))
-        return pa.RecordBatch.from_pydict({"key": pa.array(keys[row[cut]]), "start": pa.array(start[cut].astype(np.int32)), "stop": pa.array((start[last] + t).astype(np.int32))})
+        return pa.RecordBatch.from_pydict({n: pa.array(np.concatenate(x)) for n, x in zip(("key", "start", "stop"), zip(*parts, strict=True), strict=True)})
 
     def run(batches):
         kept: list = [[], [], [], [], []]
