@@ -186,17 +186,17 @@ def load(path: str) -> bytes:
         return f.read()
 
 
-def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_decoded: bool = False) -> DataFrame:
     """Every row's text encoded whole and decoded again.
 
-    Returns doc_id, n_tokens, ids (little-endian unsigned 32-bit integers; left out unless `with_ids`),
-    ids_sha256, decoded_sha256 and, with `with_ids`, decoded. A null or empty text has no tokens and
+    Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, as asked, ids (little-endian unsigned
+    32-bit integers) and decoded. A null or empty text has no tokens and
     decodes to ''. Repeated rows give repeated results; other columns are not read. The vocabulary file (its size is fixed,
     about 1.5 MB) is read by the driver and sent to the tasks.
     """
     spark: SparkSession = df.sparkSession
     sent = spark.sparkContext.broadcast(load(vocabulary))
-    more = ", ids binary, decoded string" if with_ids else ""
+    more = ", ids binary" * with_ids + ", decoded string" * with_decoded
     schema = fields(f"doc_id {df.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
 
     def make():
@@ -212,6 +212,7 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
                     out["ids"].append(packed)
+                if with_decoded:
                     out["decoded"].append(decoded)
             return out
 

@@ -254,6 +254,28 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     included) and kept (doc_id is component_id, null-safe). Rows with null ids take part; they are
     never the smallest. Repeated rows share a component. Other columns are not read.
     """
+    rooted = _rooted(df, words, percent, id_col, text_col)
+    smallest = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = rooted.join(smallest, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`df`, all columns, with one row of each component: that of the smallest id (a null id only where
+    there is no other; ties go by a hash of the text, and of repeated rows one stays). Texts without
+    words are linked with nothing, so all of them stay."""
+    rooted = _rooted(df, words, percent, id_col, text_col)
+    best = rooted.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s"))
+    stay = best.select(F.col("s.doc_id").alias("_id"), F.col("s.text_key").alias("_key"), F.lit(True).alias("_linked"))
+    stay = stay.unionByName(rooted.where("root is null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(False).alias("_linked")).distinct())
+    rows = df.withColumn("_text_key", F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))))
+    rows = rows.join(stay, rows[id_col].eqNullSafe(stay["_id"]) & (rows["_text_key"] == stay["_key"]))
+    first = F.row_number().over(Window.partitionBy(id_col, "_text_key").orderBy(F.lit(0)))
+    return rows.withColumn("_first", first).where("not _linked or _first = 1").select(*df.columns)
+
+
+def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_id and root (the smallest set of the component; null without words) of every row."""
     base = written(signed(df, words, id_col, text_col), "signed")
     real = base.where("n_shingles > 0")
     sets = written(real.select("set_id", "signature").dropDuplicates(["set_id"]), "sets")
@@ -291,7 +313,4 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         if not more.isEmpty():
             found = components(links.unionByName(more))
 
-    rooted = base.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    smallest = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(smallest, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return base.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "text_key", "n_shingles", "set_id", F.coalesce("root", "set_id").alias("root"))

@@ -187,3 +187,21 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
         return step
 
     return map_rows(texts(docs, id_col, text_col), schema, make)
+
+
+def without_toxic(docs: DataFrame, model: Model | float, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """`docs`, all columns, without the rows whose text scores `reject` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    names = docs.columns
+
+    def make():
+        m, sizers = _ready(sent.value)
+
+        def step(cols):
+            raw = (b"" if t is None else t.encode() for t in cols[text_col].to_pylist())
+            stay = np.array([i for i, t in enumerate(raw) if (m if sizers is None else m.score(t, sizers)) < reject], np.int64)
+            return {n: cols[n].take(stay) for n in names}
+
+        return step
+
+    return map_rows(docs, docs.schema, make)
