@@ -1,9 +1,7 @@
-"""Fixed values that results depend on, and the table schemas."""
+"""Fixed values that results depend on, and the table schemas (as DDL)."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Quality of a study by its type, in hundredths. Anything else counts as unknown.
 STUDY_QUALITY = {
     "meta_analysis": 100,
@@ -45,8 +43,8 @@ TARGET_KINDS = ["protein", "gene"]
 # Verbs that state a relationship.
 RELATIONS = ["inhibits", "activates", "binds", "suppresses", "increases", "decreases", "causes", "drives", "treats", "associated_with"]
 
-THINGS = T._parse_datatype_string("id string, name string, kind string, aliases array<string>, mentions int, uniprot_accession string, gene_symbol string, resolved_by string, ambiguity array<string>, merged_from array<struct<name:string,via:string>>")
-PAPERS = T._parse_datatype_string("id string, doi string, pmid string, title string, year int, journal string, first_author string, study_type string, is_preprint boolean, retracted boolean, round int, source_sha256 string, source_text string")
-FINDINGS = T._parse_datatype_string("id string, paper string, src string, how string, dst string, says string, quote string, quote_verified boolean, section string, setting string, is_own_result boolean, hedged boolean, confidence double, flags array<string>, round int")
-LINKS = T._parse_datatype_string("id string, src string, how string, dst string, state string, basis string, overall double, label string, agreement double, evidence_quality double, independence double, yes array<string>, no array<string>, no_effect array<string>, why string, changed_in_round int")
-GAPS = T._parse_datatype_string("id string, a string, c string, via string, note string, confidence double, searched_in_round int")
+THINGS = "id string, name string, kind string, aliases array<string>, mentions int, uniprot_accession string, gene_symbol string, resolved_by string, ambiguity array<string>, merged_from array<struct<name:string,via:string>>"
+PAPERS = "id string, doi string, pmid string, title string, year int, journal string, first_author string, study_type string, is_preprint boolean, retracted boolean, round int, source_sha256 string, source_text string"
+FINDINGS = "id string, paper string, src string, how string, dst string, says string, quote string, quote_verified boolean, section string, setting string, is_own_result boolean, hedged boolean, confidence double, flags array<string>, round int"
+LINKS = "id string, src string, how string, dst string, state string, basis string, overall double, label string, agreement double, evidence_quality double, independence double, yes array<string>, no array<string>, no_effect array<string>, why string, changed_in_round int"
+GAPS = "id string, a string, c string, via string, note string, confidence double, searched_in_round int"
