@@ -2,62 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Bytes of text handed to a Python worker at once; bounds its memory whatever the row sizes are.
-ARROW_BYTES = "16m"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        ours = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = ours.get() if ours.isDefined() else f"file://{tempfile.mkdtemp(prefix='claimloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session has ended: the folder's owner clears it
-        pass
-
+from claimloom.sources.shared import dropped, shared_dir, written  # noqa: F401  for the operators here
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written as Parquet in the shared folder and read again: lineage ends here.
-
-    Losing an executor later costs a read, never a recomputation. The collection lets Spark's cleaner
-    delete the shuffle files of the finished job, whose plan nothing refers to any longer.
-    """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes `written` tables from which everything that is still needed has itself been written."""
-    for t in tables:
-        _delete(t.sparkSession, t._written)
+#: Bytes of text handed to a Python worker at once; bounds its memory whatever the row sizes are.
+ARROW_BYTES = "8m"
 
 
 def arrow_limits(spark: SparkSession) -> None:

@@ -21,7 +21,7 @@ from claimloom.llm.bpe import SPLIT, load
 from claimloom.llm.common import fields, map_rows
 
 #: Pre-tokens whose counts a Python worker remembers, in each of two generations.
-CACHE = 400_000
+CACHE = 150_000
 
 
 class Counter:
