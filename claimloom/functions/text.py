@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +15,6 @@ def _or_blank(c: Column) -> Column:
 
 def nfkc(c: Column) -> Column:
     """Compatibility composition, in Arrow batches. Spark has no built-in for it."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:

@@ -11,11 +11,13 @@ from claimloom.vocabulary import DEGREE_CAP, GAP_CAP, GAP_CEILING, ROUTE_BONUS,
 
 def undirected_edges(links: DataFrame) -> DataFrame:
     """The strongest link of each pair of nodes, both ways round; of equals the last by (src, how, dst)."""
+    if "id" not in links.columns:
+        links = links.withColumn("id", F.concat_ws("|", "src", "how", "dst"))
     pair = links.where("src <> dst").select("*", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     w = Window.partitionBy("a", "b").orderBy(F.desc("overall"), F.desc("src"), F.desc("how"), F.desc("dst"))
-    best = pair.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("a", "b", "overall", "basis", "papers")
+    best = pair.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("a", "b", F.col("id").alias("link"), "overall", "basis", "papers")
     ends = F.explode(F.array(F.struct(F.col("a").alias("hub"), F.col("b").alias("end")), F.struct(F.col("b").alias("hub"), F.col("a").alias("end"))))
-    return best.select(ends.alias("e"), "overall", "basis", "papers").select("e.*", "overall", "basis", "papers")
+    return best.select(ends.alias("e"), "link", "overall", "basis", "papers").select("e.*", "link", "overall", "basis", "papers")
 
 
 def capped(edges: DataFrame, degree: int = DEGREE_CAP) -> DataFrame:
@@ -27,8 +29,8 @@ def capped(edges: DataFrame, degree: int = DEGREE_CAP) -> DataFrame:
 def wedges(edges: DataFrame, degree: int = DEGREE_CAP) -> DataFrame:
     """Pairs a < c around a hub that no edge joins. `edges` holds both directions, uncapped."""
     near = capped(edges, degree)
-    left = near.select("hub", F.col("end").alias("a"), F.col("overall").alias("o1"), F.col("basis").alias("b1"), F.col("papers").alias("p1"))
-    right = near.select("hub", F.col("end").alias("c"), F.col("overall").alias("o2"), F.col("basis").alias("b2"), F.col("papers").alias("p2"))
+    left = near.select("hub", F.col("end").alias("a"), F.col("link").alias("l1"), F.col("overall").alias("o1"), F.col("basis").alias("b1"), F.col("papers").alias("p1"))
+    right = near.select("hub", F.col("end").alias("c"), F.col("link").alias("l2"), F.col("overall").alias("o2"), F.col("basis").alias("b2"), F.col("papers").alias("p2"))
     pairs = left.join(right, "hub").where("a < c")
     return pairs.join(edges.select(F.col("hub").alias("a"), F.col("end").alias("c")), ["a", "c"], "left_anti")
 
@@ -37,11 +39,12 @@ def scored_wedges(pairs: DataFrame) -> DataFrame:
     """Each wedge's score before the bonus for further routes, and how often its hub and its pair occur."""
     apart = (F.size("p1") > 0) & (F.size("p2") > 0) & ~F.arrays_overlap("p1", "p2")
     score = F.least("o1", "o2") * basis_weight(F.col("b1")) * basis_weight(F.col("b2")) * F.when(apart, 1.0).otherwise(SHARED_PAPER) * (1 / F.sqrt(F.count("*").over(Window.partitionBy("hub"))))
-    return pairs.select("a", "c", "hub", score.alias("score")).withColumn("routes", F.count("*").over(Window.partitionBy("a", "c")))
+    return pairs.select("a", "c", "hub", F.array_sort(F.array("l1", "l2")).alias("implied_by"), score.alias("score")).withColumn("routes", F.count("*").over(Window.partitionBy("a", "c")))
 
 
 def ranked_gaps(links: DataFrame, cap: int = GAP_CAP, degree: int = DEGREE_CAP) -> DataFrame:
-    """The `cap` best gaps. `links`: src, how, dst, overall, basis, papers.
+    """The `cap` best gaps. `links`: src, how, dst, overall, basis, papers and, if
+    gaps are to name the links that imply them, id.
 
     For each pair the best route counts (of equals the first hub by id), then a bonus for the number
     of routes; rank goes by score, then pair. The confidence is capped, the rank is not.
@@ -51,5 +54,5 @@ def ranked_gaps(links: DataFrame, cap: int = GAP_CAP, degree: int = DEGREE_CAP)
     best = routes.withColumn("rank", F.row_number().over(w)).where("rank = 1")
     total = F.round(F.col("score") * (1 + ROUTE_BONUS * F.log2(F.col("routes").cast("double"))), 10)
     note = F.concat(F.lit("both connect to "), F.col("hub"), F.lit("; no direct link reported"), F.when(F.col("routes") > 1, F.concat(F.lit(" (implied via "), F.col("routes").cast("string"), F.lit(" intermediates)"))).otherwise(""))
-    top = best.select("a", "c", F.col("hub").alias("via"), "routes", total.alias("score"), note.alias("note")).orderBy(F.desc("score"), "a", "c").limit(cap)
+    top = best.select("a", "c", F.col("hub").alias("via"), "implied_by", "routes", total.alias("score"), note.alias("note")).orderBy(F.desc("score"), "a", "c").limit(cap)
     return top.withColumn("confidence", F.round(F.least("score", F.lit(GAP_CEILING)), 4))

@@ -168,7 +168,7 @@ def _gap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_GAP_LINKS + """, top as (select *, row_number() over (partition by a, c order by round(score, 10) desc, hub) as r from routes), final as (select a, c, hub as via, routes, round(score * (1 + 0.12::double * log2(routes)), 10) as score from top where r = 1)
 select a, c, via, routes, score, 'both connect to ' || via || '; no direct link reported' || case when routes > 1 then ' (implied via ' || routes || ' intermediates)' else '' end as note, round(least(score, 0.6), 4) as confidence from final order by score desc, a, c limit 50""")
 def gap_top50(spark, sf_dir):
-    return gaps.ranked_gaps(_gap_links(spark, sf_dir))
+    return gaps.ranked_gaps(_gap_links(spark, sf_dir)).drop("implied_by")
 
 
 @query(_GAP_LINKS + " select hub, count(*) as fan from wedges group by hub")
