@@ -22,6 +22,20 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+OP1_SQL = r"""
+with dw as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN]+') as ws from documents), iw as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN]+') as ws from benchmark),
+d as (select doc_id, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) as sh, len(ws) as n from dw where len(ws) >= 5),
+q as (select item_id, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) as sh, len(ws) as n from iw where len(ws) >= 5),
+ds as (select doc_id, n, unnest(sh) as s, generate_subscripts(sh, 1) - 1 as place from d), qs as (select item_id, n, unnest(sh) as s, generate_subscripts(sh, 1) - 1 as off from q),
+win as (select distinct ds.doc_id, qs.item_id, qs.n as len, greatest(least(place - off, ds.n - qs.n), 0) as "at" from ds join qs using (s)),
+ws as (select win.doc_id, win.item_id, win.len, win."at", ds.s, count(*) as c from win join ds on ds.doc_id = win.doc_id and ds.place between win."at" and win."at" + greatest(win.len - 5, 0) group by all),
+qc as (select item_id, s, count(*) as c from qs group by all), qt as (select item_id, sum(c * least(63, length(s))) as total from qc group by item_id),
+m as (select ws.doc_id, ws.item_id, ws.len, ws."at", sum(ws.c * least(63, length(ws.s))) as total, coalesce(sum(least(ws.c, qc.c) * least(63, length(ws.s))), 0) as both_ from ws left join qc on qc.item_id = ws.item_id and qc.s = ws.s group by all),
+r as (select m.*, both_ / (m.total + qt.total - both_)::double as similarity from m join qt using (item_id) where 100 * both_ >= 80 * (m.total + qt.total - both_))
+select doc_id, item_id, max(similarity) as similarity, cast(arg_min("at", (-similarity, "at")) as bigint) as "at", cast(any_value(len) as bigint) as n_words from r group by doc_id, item_id
+"""
+
+
 CONTROL = "\\### Assistant: </turn> ok"
 
 
@@ -50,6 +64,17 @@ def op3_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), threshold=200, with_text=False)
 
 
+OP3_SQL = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, s, hash(substr(h, 2 * s + 1, 400)) as k from d, unnest(range(n - 199)) u(s)),
+hit as (select doc_id, s from (select doc_id, s, count(*) over (partition by k) as c from w) where c > 1),
+step as (select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + 200 then 0 else 1 end as new from hit),
+run as (select doc_id, s, sum(new) over (partition by doc_id order by s) as r from step), span as (select doc_id, r, min(s) as a, max(s) + 200 as b from run group by doc_id, r),
+keep as (select d.doc_id, string_agg(substr(h, 2 * coalesce(prev, 0) + 1, 2 * (a - coalesce(prev, 0))), '' order by a) as body, max(b) as last, sum(b - a) as gone, count(*) as spans from d join (select *, lag(b) over (partition by doc_id order by a) as prev from span) x using (doc_id) group by d.doc_id)
+select d.doc_id, n as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(body, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from d left join keep using (doc_id)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with three edits that its id and length fix: a replacement, an insertion and a deletion at the end."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -107,5 +132,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(_table(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+with w as (select doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+l as (select doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) as tri from w),
+e as (select doc_id, generate_subscripts(tri, 1) as i, unnest(tri) as g from l where len(tri) > 0),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from e) where n > 1),
+covered as (select doc_id, count(*) as n from (select distinct doc_id, i + k as p from twice, (select unnest([0, 1, 2]) as k)) group by doc_id),
+m as (select l.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+   cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, len(ls) as n_lines, len(list_filter(ws, lambda x: regexp_matches(x, '^([A-Za-z]|[^\x00-\x7F])'))) as letters from l left join covered c on c.doc_id = l.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines or word_chars < 2 * n_words or word_chars > 15 * n_words or 2 * letters < n_words) as kept from m
+"""
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_repeated_text, op4_token_counts, op5_toxicity, op6_secret_scan, op7_pii, op8_near_dedup, op9_bpe, op10_quality_rules)}
-ORACLES = {"op2_chat_format": OP2_SQL, "op8_near_dedup": OP8_SQL}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_repeated_text": OP3_SQL, "op8_near_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
