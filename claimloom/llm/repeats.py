@@ -257,18 +257,19 @@ def remove_repeats(df: DataFrame, threshold: int = 200, id_col: str = "doc_id",
     plain = docs.select("key", "text")
 
     first = written(_anchor_table(plain.where(F.octet_length("text") >= t), t), "anchors")
-    again = first.groupBy("gram").count().where("count > 1").select("gram")
-    second = written(first.join(again, "gram"), "again")
-    dropped(first)
+    # written, not joined as an aggregate: then a gram of very many occurrences can be split over tasks
+    grams = written(first.groupBy("gram").count().where("count > 1").select("gram"), "grams")
+    second = written(first.join(grams, "gram"), "again")
+    dropped(first, grams)
     counted = second.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
     counted = written(counted.select("gram", "context", "n", "one.key", "one.at"), "counted")
     whole = second.join(counted.where("n > 1").select("gram", "context"), ["gram", "context"]).select("key", F.greatest(F.col("at") - (t - K), F.lit(0)).alias("start"), "stop")
     whole = written(whole, "whole")
     dropped(second)
 
-    several = counted.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > GROUP).alias("big"))
+    several = written(counted.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > GROUP).alias("big")), "several")
     contexts = written(_contexts(plain, counted.join(several, "gram").select("gram", "big", "key", "at"), t), "contexts")
-    dropped(counted)
+    dropped(counted, several)
     part = written(_sorted_groups(contexts.where("not big"), t), "part")
     cuts = whole.unionByName(part)
     if not contexts.where("big").isEmpty():
