@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import scoring, text
@@ -101,3 +101,69 @@ def ledger(links: DataFrame) -> DataFrame:
     """One row for each link and axis: how many claims stand on it."""
     axes = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.size(a).cast("long").alias("n")) for a in ("yes", "no", "no_effect"))))
     return links.select("src", "how", "dst", axes.alias("a")).select("src", "how", "dst", "a.*")
+
+
+def unique_slugs(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """`slug` for each row: x, then x_2, x_3 ... in `order` where it repeats."""
+    w = Window.partitionBy("_slug").orderBy(*order)
+    rows = df.withColumn("_slug", text.slug(F.col(column))).withColumn("_n", F.row_number().over(w))
+    return rows.withColumn("slug", F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat_ws("_", "_slug", F.col("_n").cast("string")))).drop("_slug", "_n")
+
+
+def gap_labels(gaps: DataFrame, things: DataFrame) -> DataFrame:
+    """A gap's two ends by name, the id where there is none."""
+    name = lambda end: things.select(F.col("id").alias(end), F.col("name").alias(f"_{end}"))
+    rows = gaps.join(name("a"), "a", "left").join(name("c"), "c", "left")
+    return rows.withColumn("label", F.concat(F.coalesce("_a", "a"), F.lit(" ~ "), F.coalesce("_c", "c"))).drop("_a", "_c")
+
+
+def headline(findings: DataFrame, links: DataFrame, gaps: DataFrame, status: str = "complete") -> DataFrame:
+    """One row: result, status and a sentence. A graph without claims is never told as evidence of absence."""
+    n = links.agg(F.count("*").alias("links"), F.count_if(F.col("state") == "agreed").alias("agreed"), F.count_if(F.col("state") == "disagreed").alias("disputed"))
+    one = n.join(findings.agg(F.count("*").alias("findings"))).join(gaps.agg(F.count("*").alias("gaps")))
+    result = F.when(F.lit(status == "failed"), "failed").when(F.col("findings") == 0, "no_evidence_retrieved").when(F.col("disputed") > 0, "disputed").when(F.col("agreed") > 0, "supported").otherwise("preliminary")
+    told = F.concat(text.counted(F.col("links"), "relationship"), F.lit(" from "), text.counted(F.col("findings"), "finding"), F.lit("; "), text.counted(F.col("gaps"), "open gap"))
+    return one.select(result.alias("result"), F.lit(status).alias("status"), told.alias("sentence"), "links", "agreed", "disputed", "findings", "gaps")
+
+
+#: step -> what goes in and comes out, in the order in which a round runs them.
+STEPS = ["search", "screen", "quote_verification", "entity_resolution", "link_assembly", "agreement", "evidence_quality", "independence", "overall", "gap_ranking", "stop"]
+LINEAGE = {"things": "papers", "findings": "papers", "links": "findings", "gaps": "links", "metrics": "links", "evidence": "findings", "uncertainty": "links", "limitations": "findings", "counterfactuals": "links"}
+
+
+def steps(counts: DataFrame) -> DataFrame:
+    """position, step and n for every step; n is null where `counts` (step, n) has none."""
+    spark = counts.sparkSession
+    names = spark.range(1).select(F.posexplode(F.array(*map(F.lit, STEPS))).alias("position", "step"))
+    return names.join(counts, "step", "left").select((F.col("position") + 1).alias("position"), "step", "n")
+
+
+def lineage(any_table: DataFrame) -> DataFrame:
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("table"), F.lit(b).alias("derived_from")) for a, b in LINEAGE.items()))).alias("p")
+    return any_table.sparkSession.range(1).select(pairs).select("p.*")
+
+
+def assumptions(defaults: DataFrame, column: str = "defaults_applied") -> DataFrame:
+    """Every default that was applied, named by what stands before its colon, with how often."""
+    name = F.trim(F.substring_index("note", ":", 1))
+    return defaults.select(F.explode(column).alias("note")).groupBy(name.alias("field"), "note").agg(F.count("*").alias("n"))
+
+
+def rule_checks(findings: DataFrame, papers: DataFrame, things: DataFrame) -> DataFrame:
+    """An extraction's self-check: for each claim the rules that it breaks.
+
+    not_in_text: the quote is not in the source (only where there is text); no_entity: the quote
+    names neither end; no_quote; review_own: a review's claim as an own result; self_loop.
+    """
+    p = papers.select(F.col("id").alias("paper"), "study_type", text.quote_form(F.col("source_text")).alias("_t"), (F.coalesce(F.trim("source_text"), F.lit("")) != "").alias("_has"))
+    names = lambda end: things.select(F.col("id").alias(end), text.folded(F.col("name")).alias(f"_{end}"))
+    rows = findings.join(p, "paper", "left").join(names("src"), "src", "left").join(names("dst"), "dst", "left")
+    q, folded = text.quote_form(F.col("quote")), text.folded(F.col("quote"))
+    broken = {
+        "no_quote": q == "",
+        "not_in_text": F.coalesce(F.col("_has"), F.lit(False)) & ~F.contains("_t", q),
+        "no_entity": ~(F.contains(folded, F.coalesce("_src", "src")) | F.contains(folded, F.coalesce("_dst", "dst"))),
+        "review_own": (F.coalesce("study_type", F.lit("")) == "review") & F.coalesce("is_own_result", F.lit(False)),
+        "self_loop": F.col("src") == F.col("dst"),
+    }
+    return rows.select("id", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in broken.items()))).alias("broken"))

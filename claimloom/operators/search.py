@@ -88,3 +88,24 @@ def overlap(left: DataFrame, right: DataFrame, id_col: str = "doc_id") -> DataFr
     sides = left.select(id_col).distinct().withColumn("l", F.lit(1)).join(right.select(id_col).distinct().withColumn("r", F.lit(1)), id_col, "full")
     n = sides.agg(F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("n_both"), F.count("*").alias("n"))
     return n.select("n_left", "n_right", "n_both", F.when(F.col("n") > 0, F.col("n_both") / F.col("n")).alias("jaccard"))
+
+
+def passes(rows: DataFrame, order: list[str], size: int = 5, group: str | None = None) -> DataFrame:
+    """Fixed batches of `size` rows in each group's order: pass numbers from 0."""
+    w = Window.partitionBy(*([group] if group else [])).orderBy(*order)
+    return rows.withColumn("pass", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+
+
+def absence(counts: DataFrame) -> DataFrame:
+    """status for (depth, n): a quick search without rows is empty and truncated, never evidence of absence."""
+    empty = F.col("n") == 0
+    return counts.withColumns({"status": F.when(empty, "empty").otherwise("complete"), "truncated": empty & (F.col("depth") == "quick"), "may_say_none": empty & (F.col("depth") == "exhaustive")})
+
+
+def registry_matches(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """name, organism -> accession, by normalized name and organism; several hits stay as an ambiguity."""
+    from claimloom.functions.text import normalize_name
+
+    key = lambda df: df.withColumns({"_n": normalize_name(F.col("name")), "_o": F.lower(F.trim("organism"))})
+    hits = key(names).join(key(registry).select("_n", "_o", "accession").distinct(), ["_n", "_o"], "left").groupBy("name", "organism").agg(F.array_sort(F.collect_set("accession")).alias("found"))
+    return hits.select("name", "organism", F.when(F.size("found") == 1, F.col("found")[0]).alias("accession"), F.when(F.size("found") > 1, F.col("found")).otherwise(F.array().cast("array<string>")).alias("ambiguity"))

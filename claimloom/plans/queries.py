@@ -589,3 +589,103 @@ def state_round_trip(spark, sf_dir):
     state.save_state({"links": li, "findings": f}, path)
     return state.load_state(spark, path)["links"].select("src", "how", "dst", "state", "basis", "overall", *_joined("yes"))
 
+
+
+# ---- more audit tables, text functions, batches -----------------------------------------------
+
+
+@query("select p_partkey, case when n = 1 then s else s || '_' || n end as slug from (select p_partkey, s, row_number() over (partition by s order by p_partkey) as n from (select p_partkey, regexp_replace(regexp_replace(p_type, '[^A-Za-z0-9_.:-]+', '_', 'g'), '^_+|_+$', '', 'g') as s from part))")
+def slug_ids(spark, sf_dir):
+    return audit.unique_slugs(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", ["p_partkey"]).select("p_partkey", "slug")
+
+
+@query(_GAP_LINKS + """, pairs as (select distinct a, c from wedges where a like 's%'), names as (select 's' || s_suppkey as id, s_name as name from supplier union all select 'n' || n_nationkey, n_name from nation)
+select a, c, coalesce(x.name, a) || ' ~ ' || coalesce(y.name, c) as label from pairs left join names x on x.id = a left join names y on y.id = c""")
+def gap_labels(spark, sf_dir):
+    pairs = gaps.wedges(gaps.undirected_edges(_gap_links(spark, sf_dir))).where("a like 's%'").select("a", "c").distinct()
+    return audit.gap_labels(pairs, evidence(spark, sf_dir, "things").where("kind <> 'protein'")).select("a", "c", "label")
+
+
+@query(_SPARSE + """ select case when disputed > 0 then 'disputed' when agreed > 0 then 'supported' else 'preliminary' end as result, 'complete' as status, links || ' relationships from ' || findings || ' findings; 25 open gaps' as sentence, links, agreed, disputed, findings, 25 as gaps
+from (select count(*) as links, count(*) filter (state = 'agreed') as agreed, count(*) filter (state = 'disagreed') as disputed from links), (select count(*) as findings from findings)""")
+def headline(spark, sf_dir):
+    return audit.headline(evidence(spark, sf_dir, "findings"), _sparse(spark, sf_dir), table(spark, sf_dir, "nation"))
+
+
+@query("select trim(split_part(note, ':', 1)) as field, note, count(*) as n from (select unnest(case event_id % 3 when 1 then ['ask: not given, new_question used', 'depth: not given, standard used', 'years: not given, no floor used'] when 0 then ['depth: not given, standard used', 'years: not given, no floor used'] else ['ask: not given, new_question used', 'years: not given, no floor used'] end) as note from events) group by all")
+def assumptions(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    task = F.when(F.col("event_id") % 3 == 0, F.format_string('{"ask":"expand_node","target":"t%d"}', "user_id")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("about "), F.col("event_type"))).otherwise('{"target":"x","depth":"deep"}')
+    return audit.assumptions(search.requests(e.select("event_id", task.alias("task"))))
+
+
+@query(sql("findings", "papers", "things") + """ select f.id, src, dst, part, price, shipped, array_to_string(list_filter([case when not (contains(lower('"effect" of ' || dst), lower(coalesce(a.name, src))) or contains(lower('"effect" of ' || dst), lower(coalesce(b.name, dst)))) then 'no_entity' end, case when study_type = 'review' and is_own_result then 'review_own' end], lambda x: x is not null), ',') as broken
+from findings f left join papers p on p.id = f.paper left join things a on a.id = src left join things b on b.id = dst""".replace("src, dst, part, price, shipped, ", ""))
+def rule_checks(spark, sf_dir):
+    p = evidence(spark, sf_dir, "papers").withColumn("source_text", F.lit(None).cast("string"))
+    return audit.rule_checks(evidence(spark, sf_dir, "findings"), p, evidence(spark, sf_dir, "things")).select("id", *_joined("broken"))
+
+
+@query("select o_custkey, o_orderkey, cast((row_number() over (partition by o_custkey order by o_orderkey) - 1) // 5 as int) as pass from orders")
+def reading_passes(spark, sf_dir):
+    return search.passes(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_orderkey"], 5, "o_custkey")
+
+
+@query("select depth, n, case when n = 0 then 'empty' else 'complete' end as status, n = 0 and depth = 'quick' as truncated, n = 0 and depth = 'exhaustive' as may_say_none from (select case c_mktsegment when 'BUILDING' then 'quick' when 'MACHINERY' then 'exhaustive' else 'deep' end as depth, count(*) filter (c_acctbal < -990) as n from customer group by c_nationkey, 1)")
+def absence_guard(spark, sf_dir):
+    depth = F.when(F.col("c_mktsegment") == "BUILDING", "quick").when(F.col("c_mktsegment") == "MACHINERY", "exhaustive").otherwise("deep")
+    return search.absence(table(spark, sf_dir, "customer").groupBy("c_nationkey", depth.alias("depth")).agg(F.count_if(F.col("c_acctbal") < -990).alias("n")).drop("c_nationkey"))
+
+
+@query(f"select p_partkey, coalesce(case when n = 1 then acc end, '?') as accession, case when n > 1 then all_ else '' end as ambiguity from (select p.p_partkey, count(distinct r.acc) as n, min(r.acc) as acc, string_agg(distinct r.acc, ',' order by r.acc) as all_ from part p left join (select p_type as name, p_brand as organism, 'A' || p_size as acc from part where p_size <= 10) r on {_name_sql('p.p_type')} = {_name_sql('r.name')} and lower(p.p_brand) = lower(r.organism) group by p.p_partkey)")
+def registry_search(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    registry = p.where("p_size <= 10").select(F.col("p_type").alias("name"), F.col("p_brand").alias("organism"), F.concat(F.lit("A"), F.col("p_size").cast("string")).alias("accession"))
+    found = search.registry_matches(p.select(F.col("p_type").alias("name"), F.col("p_brand").alias("organism")).distinct(), registry)
+    return p.join(found, (p["p_type"] == found["name"]) & (p["p_brand"] == found["organism"])).select("p_partkey", F.coalesce("accession", F.lit("?")).alias("accession"), *_joined("ambiguity"))
+
+
+_LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents)"
+
+
+@query(rf"with {_LINES} select doc_id, cast(line as int) as line, regexp_matches(s, '(?i)\b(may|might|could|suggest|suggests|suggested|appears|appear|possibly|potentially|likely|putative)\b') as hedged, regexp_matches(s, '\[\d+(?:[,–-]\s*\d+)*\]|\([A-Z]\pL+(?: et al\.)?,? \d{{4}}\)') as cites, left(trim(regexp_replace(regexp_replace(s, '[\p{{Cc}}\p{{Cf}}]+', ' ', 'g'), ' +', ' ', 'g')), 60) as snippet from lines")
+def line_flags(spark, sf_dir):
+    rows = search.lines(table(spark, sf_dir, "documents"))
+    c = F.col("content")
+    return rows.select("doc_id", "line", text.hedged(c).alias("hedged"), text.cites_others(c).alias("cites"), text.title_snippet(c).alias("snippet"))
+
+
+@query(r"with p as (select page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'), '[\s ]+', ' ', 'g')) as t from pages) select page_id, case when length(t) > 400 then rtrim(left(t, 399)) || '…' else t end as plain from p")
+def plain_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.plain(F.col("html")).alias("plain"))
+
+
+@query("select least(a.n, 999999) as n_left, b.n as n_right, c.n as n_both, c.n / (a.n + b.n - c.n)::double as jaccard from (select count(*) as n from documents where contains(lower(text), 'licensed')) a, (select count(*) as n from documents where contains(lower(text), 'version')) b, (select count(*) as n from documents where contains(lower(text), 'licensed') and contains(lower(text), 'version')) c")
+def query_overlap(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return search.overlap(search.bool_grep(d, ["licensed"]), search.bool_grep(d, ["version"]))
+
+
+@query()
+def chunked_state(spark, sf_dir):
+    """Claims of each round in chunks of at most 80 KiB of JSON, by a greedy running sum."""
+    f = evidence(spark, sf_dir, "findings").select("id", "paper", "src", "how", "dst", "says", "round", "price", "part", "shipped")
+    return state.chunked(rounds.renamed(f, ["part", "price", "shipped", "src"]), ["id"]).groupBy("round", "chunk").agg(F.count("*").alias("n"))
+
+
+@query()
+def fold_round(spark, sf_dir):
+    """Two rounds folded one after the other: what the second one did, with counts and outcome."""
+    from claimloom.plans import fold
+
+    f = evidence(spark, sf_dir, "findings").withColumn("dst", F.col("part"))
+    papers = evidence(spark, sf_dir, "papers").withColumns({"journal": F.lit(None).cast("string"), "source_sha256": F.lit(None).cast("string"), "source_text": F.lit(None).cast("string")})
+    things = evidence(spark, sf_dir, "things").where("kind <> 'protein'").unionByName(f.select(F.col("part").alias("id"), F.concat(F.lit("part "), "part").alias("name"), F.lit("protein").alias("kind"), F.lit(None).cast("string").alias("uniprot_accession")).distinct())
+    things = things.withColumns({"aliases": F.array().cast("array<string>"), "mentions": F.lit(1), "ambiguity": F.lit(None).cast("array<string>")})
+    part = lambda low, high: {"findings": f.where(F.col("round").between(low, high)).drop("round", "quote_verified"), "papers": papers, "things": things}
+    empty = {t: spark.createDataFrame([], s) for t, s in state.TABLES.items()}
+    one = fold.fold(empty, part(1, 4), 1)
+    two = fold.fold(one, part(5, 7), 2)
+    told = two["delta"].groupBy("kind").agg(F.count("*").alias("n"))
+    c = two["counts"].select(F.explode(F.array(*(F.struct(F.lit(x).alias("kind"), F.col(x).alias("n")) for x in ("no_quote_discarded", "duplicates_dropped", "quotes_unverified")))).alias("c")).select("c.*")
+    return told.unionByName(c).unionByName(two["outcome"].select(F.concat(F.lit("outcome:"), "outcome").alias("kind"), F.lit(1).cast("long").alias("n")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -66,3 +66,23 @@ def messages(turns: DataFrame) -> DataFrame:
     """The longest message (first on ties) and the last one of each conversation."""
     longest = F.max_by("text", F.struct(F.char_length("text").alias("n"), (-F.col("turn")).alias("t")))
     return turns.groupBy("conv_id").agg(longest.alias("longest"), F.max_by("text", "turn").alias("last"), F.count("*").alias("n_turns"))
+
+
+def answers(uses: DataFrame, asked: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Tool uses that an action requires: (event_id, name) of `uses` for every id in `asked.event_ids`.
+
+    Both may be streams: a use waits for its request, and a request for its use, within `delay`.
+    """
+    left = timed(uses).select("event_id", "name", F.col("ts").alias("used_at"))
+    right = timed(asked).select(F.explode("event_ids").alias("required"), F.col("ts").alias("asked_at"))
+    if uses.isStreaming:
+        left = left.withWatermark("used_at", delay)
+    if asked.isStreaming:
+        right = right.withWatermark("asked_at", delay)
+    near = (F.col("asked_at") >= F.col("used_at")) & (F.col("asked_at") <= F.col("used_at") + F.expr(f"interval {delay}"))
+    return left.join(right, (F.col("event_id") == F.col("required")) & near).select("event_id", "name")
+
+
+def activity(event_type: Column) -> Column:
+    """A short label for an event's type."""
+    return F.when(event_type.contains("tool"), "using a tool").when(event_type.contains("message"), "writing").when(event_type.contains("error"), "failed").otherwise("working")
