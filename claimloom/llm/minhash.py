@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_limits, fields, map_rows, written
+from claimloom.llm.common import arrow_limits, dropped, fields, map_rows, written
 from claimloom.llm.hashing import mixed, shingles
 
 BANDS, ROWS, BATCH = 32, 4, 16
@@ -171,7 +171,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        dropped(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if mark == seen:
             break
@@ -188,12 +189,11 @@ def _blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     itself included) is one unit of work, in which pairs of different components are compared until
     joined.
     """
-    w = Window.partitionBy("bucket").orderBy("set_id")
     m = members.join(texts.select("set_id", F.octet_length("text").cast("long").alias("bytes")), "set_id")
-    before = F.row_number().over(w) / BLOCK + F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / BLOCK_BYTES
-    m = m.select("bucket", "set_id", "root", F.floor(before).cast("int").alias("block"))
-    last = m.groupBy("bucket").agg(F.max("block").alias("last"))
-    m = m.join(last, "bucket")
+    share = F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+    # dealt by hash, not by a window over the bucket: no task needs a whole bucket
+    blocks = written(m.groupBy("bucket").agg((F.ceil(share) - 1).cast("int").alias("last")), "blocks")
+    m = m.join(blocks, "bucket").select("bucket", "set_id", "root", F.pmod(F.xxhash64("set_id"), F.col("last") + 1).cast("int").alias("block"), "last")
     other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
     m = m.select("bucket", "set_id", "root", "block", other)
     m = m.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "root", "block")
@@ -282,12 +282,14 @@ def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
 
     bands = sets.select("set_id", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "signature")
     bands = bands.select("set_id", F.xxhash64("band", F.substring("signature", F.col("band") * (ROWS * 4) + 1, F.lit(ROWS * 4))).alias("bucket"))
-    w = Window.partitionBy("bucket").orderBy("set_id")
-    bands = bands.withColumn("pivot", F.first("set_id").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    stars = written(bands.where("set_id <> pivot"), "stars")
+    # sums before the shuffle and a join that can be split, not a window: a bucket may hold a third of all sets
+    pivots = written(bands.groupBy("bucket").agg(F.min("set_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "pivots")
+    stars = written(bands.join(pivots, "bucket").where("set_id <> pivot"), "stars")
 
+    dropped(pivots)
     pairs = stars.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
     close = written(_pruned(pairs, sets, percent), "close")
+    dropped(sets)
 
     # one row's text for each set that is still needed
     source = real.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s")).select("set_id", "s.doc_id", "s.text_key")
@@ -299,7 +301,9 @@ def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
         return found.select("set_id", "text").dropDuplicates(["set_id"])
 
     ends = close.select(F.explode(F.array("a", "b")).alias("set_id"))
-    links = written(_confirmed(close, written(texts_of(ends), "texts"), words, percent), "links")
+    texts = written(texts_of(ends), "texts")
+    links = written(_confirmed(close, texts, words, percent), "links")
+    dropped(texts, close)
     found = components(links)
 
     # buckets of three or more texts in more than one component, one for each membership
@@ -308,9 +312,14 @@ def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     open_ = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"))
     open_ = open_.where("n > 2 and low <> high").groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
     open_ = written(members.join(open_, "bucket").select("bucket", "set_id", "root"), "open")
+    dropped(stars)
     if not open_.isEmpty():
-        more = written(_blocks(open_, written(texts_of(open_.select("set_id")), "texts"), words, percent), "links")
+        texts = written(texts_of(open_.select("set_id")), "texts")
+        more = written(_blocks(open_, texts, words, percent), "links")
+        dropped(texts)
         if not more.isEmpty():
             found = components(links.unionByName(more))
+        dropped(more)
+    dropped(links, open_)
 
     return base.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "text_key", "n_shingles", "set_id", F.coalesce("root", "set_id").alias("root"))

@@ -81,3 +81,24 @@ def test_posterior_bound_and_signatures():
     share = (minhash.signature(a) == minhash.signature(b)).mean()
     assert abs(share - 0.8) < 0.15
     assert minhash.linked(a, b, 80) and not minhash.linked(a, b, 81)
+
+
+def test_deduplicated_rows_with_nulls_and_repeats(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(3, text), (2, text + " more"), (2, text + " more"), (None, text), (None, "lonely words of nobody else"), (7, None), (7, None), (8, ""), (9, "short")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, root string")
+    out = minhash.deduplicated(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(2, text + " more"), (None, "lonely words of nobody else"), (7, None), (7, None), (8, ""), (9, "short")], key=repr)
+    assert minhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(4)
+    chain = list(range(100, 160))
+    edges = list(zip(chain, chain[1:], strict=False)) + [(5, x) for x in range(6, 30)] + [(40, 41), (41, 40)]
+    rng.shuffle(edges)
+    got = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[x] == 100 for x in chain) and all(got[x] == 5 for x in range(5, 30)) and got[41] == got[40] == 40
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
