@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import fields, map_rows, texts
+from claimloom.llm.hashing import shingles
 
 #: Labelled texts of each class in the training sample, half for dictionaries, half for the curve; and
 #: the longest such text in bytes. Every other count and every score covers all rows.
@@ -42,6 +43,20 @@ def _grams(raw: bytes) -> set[bytes]:
     return {raw[i : i + GRAM] for i in range(len(raw) - GRAM + 1)}
 
 
+def unlike(texts: list[bytes]) -> list[bytes]:
+    """`texts` without those of which 0.3 of the five-word shingles, or more, stood in texts before:
+    what a group of copies repeats is no sign of its class."""
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        own = shingles(t, 5)
+        own = set(own[own % np.uint64(4) == 0].tolist())  # a quarter of them, by their hash
+        if len(own & seen) < 0.3 * len(own) or not own:
+            out.append(t)
+        seen |= own
+    return out
+
+
 def marked_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Runs of toxic text whose n-grams occur in a larger share of toxic than of ordinary texts."""
     often, seldom = Counter(), Counter()
@@ -63,23 +78,36 @@ def marked_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
             if t[i : i + GRAM] in strong:
                 hit[i + 1 : i + 1 + GRAM] = 1
         turn = np.diff(hit)
-        out += [t[s:e] for s, e in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)]
-    return out
+        out += [whole_words(t[s:e]) for s, e in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)]
+    return [p for p in out if p]
+
+
+def whole_words(run: bytes) -> bytes:
+    """A run from the space before its first whole word to the one behind its last; the beginning of a
+    word if it holds no more, and nothing if it only ends one."""
+    starts = [i for i, c in enumerate(run) if c in b" \t\n\r"]
+    if not starts:
+        return b""
+    return run[starts[0] : starts[-1] + 1] if starts[-1] > starts[0] + 3 else run[starts[0] :]
+
+
+def most_frequent(samples: list[bytes], size: int) -> bytes:
+    """`size` bytes of the samples at most, each once, the most frequent last, where they are cheapest to refer to."""
+    often = Counter(samples)
+    return b"\n".join(sorted(often, key=lambda s: (often[s], s)))[-size:]
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary's content; samples too few to train on are taken as they are, the most
-    frequent last, where they are cheapest to refer to."""
+    """A zstandard dictionary's content; samples too few to train on are taken as they are."""
     import zstandard
 
     samples = [s for s in samples if s]
-    often = Counter(samples)
     try:
         if sum(map(len, samples)) < 8 * size:
             raise zstandard.ZstdError("few samples")
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(sorted(often, key=lambda s: (often[s], s)))[-size:]
+        return most_frequent(samples, size)
 
 
 class Model:
@@ -87,7 +115,7 @@ class Model:
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
         shared = trained([w for t in ordinary for w in windows(t)], SHARED)
-        self.parts = shared, trained(marked_passages(toxic, ordinary), OWN)
+        self.parts = shared, most_frequent(marked_passages(toxic, ordinary), OWN)
         self.curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def sizers(self):
@@ -134,7 +162,7 @@ def fitted(rows: list[tuple[int, bytes]], shares: tuple[int, int]) -> Model | fl
 
     Without both classes: the constant share of toxic texts.
     """
-    by = [[t for y, t in rows if y == k] for k in (0, 1)]
+    by = [unlike([t for y, t in rows if y == k]) for k in (0, 1)]
     if min(map(len, by)) < 4:
         return shares[1] / max(1, sum(shares))
     model = Model(by[1][::2], by[0][::2])
