@@ -167,3 +167,36 @@ def rule_checks(findings: DataFrame, papers: DataFrame, things: DataFrame) -> Da
         "self_loop": F.col("src") == F.col("dst"),
     }
     return rows.select("id", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in broken.items()))).alias("broken"))
+
+
+def recorded(n: Column, unit: str) -> Column:
+    """A count with its unit; a count that is missing is told as such, not as 0."""
+    return F.when(n.isNull(), "not recorded").otherwise(text.counted(n, unit))
+
+
+def term_means(links: DataFrame) -> DataFrame:
+    """The mean of each confidence term, over integer units; no row without links."""
+    terms = ["agreement", "evidence_quality", "independence", "overall"]
+    mean = lambda t: (F.sum(F.round(F.col(t) * 10000).cast("long")) / (F.count("*") * 10000.0)).alias(t)
+    return links.agg(F.count("*").alias("n"), *map(mean, terms)).where("n > 0")
+
+
+def author_count(papers: DataFrame) -> DataFrame:
+    """Distinct first authors as written; all missing ones count as one."""
+    return papers.agg(F.count_distinct(F.coalesce("first_author", F.lit("\0"))).alias("n_authors"))
+
+
+def link_evidence(links: DataFrame) -> DataFrame:
+    """id -> the claims that stand behind a link on any axis, sorted."""
+    return links.select("id", F.array_sort(F.array_distinct(F.concat("yes", "no", "no_effect"))).alias("evidence"))
+
+
+def coverage(findings: DataFrame, things: DataFrame, links: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row for the latest round: what was discarded and dropped, what the quotes' verdicts are, what is missing."""
+    from claimloom.operators import quality
+
+    rows = confidence_profile(findings).select(F.struct("*").alias("confidence_profile"))
+    rows = rows.join(quote_summary(findings).select(F.col("unverified").alias("quotes_unverified")))
+    rows = rows.join(quality.without_accession(things).agg(F.count("*").alias("proteins_without_accession_count")))
+    rows = rows.join(quality.interventions_without_target(links, things).agg(F.count("*").alias("interventions_without_target_count")))
+    return rows.join(quality.has_kind(things)).join(counts.select("no_quote_discarded", "duplicates_dropped"))

@@ -31,7 +31,8 @@ def with_sources(findings: DataFrame, papers: DataFrame) -> DataFrame:
 def link_measures(findings: DataFrame, papers: DataFrame) -> DataFrame:
     """One row for each (src, how, dst): counts, ids by direction, conditions, sums for the scores.
 
-    One shuffle by the key; counts are summed before it.
+    One shuffle by the key; counts are summed before it. Sets, not distinct counts: these would expand
+    every row three times, and the ids of a group are gathered anyway.
     """
     own, says = is_own(), F.col("says")
     on = lambda what: own & (says == what)
@@ -48,8 +49,8 @@ def link_measures(findings: DataFrame, papers: DataFrame) -> DataFrame:
             F.count_if(own).alias("n_own"),
             F.count_if(own & F.coalesce(F.col("hedged"), F.lit(False))).alias("n_own_hedged"),
             F.sum("points").alias("points"),
-            F.count_distinct(F.when(own, F.col("author"))).alias("n_authors"),
-            F.count_distinct(F.when(own & F.col("known"), F.col("paper"))).alias("n_papers"),
+            F.size(F.collect_set(F.when(own, F.col("author")))).cast("long").alias("n_authors"),
+            F.size(F.collect_set(F.when(own & F.col("known"), F.col("paper")))).cast("long").alias("n_papers"),
             ids("yes").alias("yes"),
             ids("no").alias("no"),
             ids("no_effect").alias("no_effect"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -86,3 +86,15 @@ def answers(uses: DataFrame, asked: DataFrame, delay: str = "10 minutes") -> Dat
 def activity(event_type: Column) -> Column:
     """A short label for an event's type."""
     return F.when(event_type.contains("tool"), "using a tool").when(event_type.contains("message"), "writing").when(event_type.contains("error"), "failed").otherwise("working")
+
+
+def session_events(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
+    """Events of sessions as a stream of JSON lines; records that don't fit come as nulls and are left out."""
+    schema = "event_id string, ts timestamp, event_type string, name string, event_ids array<string>, text string, error string"
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
+    return rows.where("event_id is not null and event_type is not null")
+
+
+def outcomes(events: DataFrame) -> DataFrame:
+    """The events that end a session, with the error if there is one."""
+    return events.where(F.col("event_type").isin("outcome", "terminated", "error")).select("event_id", "event_type", F.coalesce("error", F.when(F.col("event_type") == "terminated", "terminated")).alias("error"))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from claimloom.operators import audit, search
+from claimloom.operators import audit, quality, rounds, search
+from claimloom.plans import fold
 from claimloom.sources import state
 from claimloom.streaming import events
 
@@ -68,3 +69,49 @@ def test_grep_context_and_registry(spark):
     reg = spark.createDataFrame([("akt1", "human", "P1"), ("gsk", "mouse", "P2"), ("GSK", "Mouse", "P3")], "name string, organism string, accession string")
     got = {r.name: (r.accession, r.ambiguity) for r in search.registry_matches(names, reg).collect()}
     assert got == {"AKT1": ("P1", []), "GSK": (None, ["P2", "P3"]), "none": (None, [])}
+
+
+def test_small_views(spark):
+    li = spark.createDataFrame([("L1", 0.5, 0.6, 0.0, 0.44, ["f2", "f1"], [], ["f1"])], "id string, agreement double, evidence_quality double, independence double, overall double, yes array<string>, no array<string>, no_effect array<string>")
+    assert tuple(audit.term_means(li).head()) == (1, 0.5, 0.6, 0.0, 0.44) and audit.term_means(li.limit(0)).count() == 0
+    assert audit.link_evidence(li).head().evidence == ["f1", "f2"]
+    assert audit.author_count(spark.createDataFrame([("a",), (None,), (None,), ("a",)], "first_author string")).head()[0] == 2
+    assert [r[0] for r in spark.createDataFrame([(2,), (1,), (None,)], "n int").select(audit.recorded(F.col("n"), "paper")).collect()] == ["2 papers", "1 paper", "not recorded"]
+    rows = spark.createDataFrame([("L", 1, "single_source", 0.4), ("L", 2, "agreed", 0.7)], "id string, round int, state string, overall double")
+    last = rounds.progression(rows, ["id"]).where("round = 2").head()
+    assert (last.prior_state, last.moved) == ("single_source", 0.3)
+    assert rounds.with_defaults(spark.createDataFrame([("f",)], "id string"), 3).head() == ("f", 3, [])
+    acl = spark.createDataFrame([(1, True, None), (2, None, ["ann"]), (3, False, ["bob"])], "id int, public boolean, readers array<string>")
+    assert [r.id for r in quality.visible(acl, "ann").collect()] == [1, 2] and [r.id for r in quality.visible(acl, None).collect()] == [1]
+    ev = spark.createDataFrame([("a", "tool", None), ("b", "terminated", None), ("c", "error", "lost")], "event_id string, event_type string, error string")
+    assert [(r.event_id, r.error) for r in events.outcomes(ev).collect()] == [("b", "terminated"), ("c", "lost")]
+
+
+def test_emitted_bytes_are_equal_for_equal_tables(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b", None), (1, "a", 0.5)], "id int, name string, x double")
+    for i, d in enumerate((df, df.repartition(3))):
+        state.emit(d.coalesce(1), f"file://{tmp_path}/{i}", ["id"])
+    one, two = (sorted(b"".join(p.read_bytes() for p in sorted((tmp_path / str(i)).glob("part-*"))).splitlines()) for i in (0, 1))
+    assert one == two and one[0] == b'{"id":1,"name":"a","x":0.5}'
+
+
+def test_session_events_and_rebuild(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.json").write_text('{"event_id":"e1","event_type":"tool","ts":"2024-01-01T00:00:00Z"}\n{"other":1}\n')
+    seen = []
+    q = events.folded_into(events.session_events(spark, f"file://{tmp_path}/s"), lambda b, i: seen.extend(r.event_id for r in b.collect()), f"file://{tmp_path}/ck")
+    q.awaitTermination(120)
+    assert seen == ["e1"]
+    stored = {"papers": spark.createDataFrame([("p1", "old"), ("p2", "kept")], "id string, source_sha256 string"), "findings": spark.createDataFrame([("f1", "p1", "A b", True), ("f2", "p2", "x", True)], "id string, paper string, quote string, quote_verified boolean")}
+    out = fold.rebuilt(stored, spark.createDataFrame([("p1", "nothing of it")], "paper string, text string"))
+    assert {r.id: r.quote_verified for r in out["findings"].collect()} == {"f1": False, "f2": True}
+    assert {r.id: len(r.source_sha256) for r in out["papers"].collect()} == {"p1": 64, "p2": 4}
+
+
+def test_coverage_row(spark):
+    f = spark.createDataFrame([("f1", 0.5, True, True), ("f2", 0.9, True, None)], "id string, confidence double, hedged boolean, quote_verified boolean")
+    t = spark.createDataFrame([("t1", "gene", None), ("t2", "method", None)], "id string, kind string, uniprot_accession string")
+    li = spark.createDataFrame([("t2", "t9")], "src string, dst string")
+    c = spark.createDataFrame([(1, 2)], "no_quote_discarded long, duplicates_dropped long")
+    r = audit.coverage(f, t, li, c).head()
+    assert (r.quotes_unverified, r.proteins_without_accession_count, r.interventions_without_target_count, r.has_disease_node, r.confidence_profile.hedged_but_confident) == (1, 1, 1, False, 1)
