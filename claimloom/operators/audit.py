@@ -200,3 +200,47 @@ def coverage(findings: DataFrame, things: DataFrame, links: DataFrame, counts: D
     rows = rows.join(quality.without_accession(things).agg(F.count("*").alias("proteins_without_accession_count")))
     rows = rows.join(quality.interventions_without_target(links, things).agg(F.count("*").alias("interventions_without_target_count")))
     return rows.join(quality.has_kind(things)).join(counts.select("no_quote_discarded", "duplicates_dropped"))
+
+
+#: code -> severity of what a round's own report shows.
+REPORT_SEVERITY = {"ROUND_ERROR": "high", "ROUND_EMPTY": "high", "ROUND_PARTIAL": "medium", "TRUNCATED_SEARCH": "medium", "COVERAGE_NOT_RECORDED": "medium", "COVERAGE_INCOMPLETE": "low", "QUERIES_NOT_RECORDED": "low", "LIMITS_NOT_RECORDED": "low", "DEPTH_NOT_SPECIFIED": "low", "YEARS_NOT_SPECIFIED": "low", "DEFAULTS_APPLIED": "info", "QUOTES_DISCARDED": "medium"}
+
+
+def report_limitations(report: DataFrame) -> DataFrame:
+    """code, severity for each row of a round's report that a reader must know of, the worst first.
+
+    report: graph_id, status, error, found, read, used, truncated, n_queries, max_papers, depth, years,
+    defaults_applied (array), no_quote_discarded; null means not recorded.
+    """
+    none = lambda *cs: [F.col(c).isNull() for c in cs]
+    counts = none("found", "read", "used")
+    missing = counts[0] & counts[1] & counts[2]
+    holds = {
+        "ROUND_ERROR": (F.col("status") == "failed") | F.col("error").isNotNull(),
+        "ROUND_EMPTY": F.col("status") == "empty",
+        "ROUND_PARTIAL": F.col("status") == "partial",
+        "TRUNCATED_SEARCH": F.coalesce("truncated", F.lit(False)),
+        "COVERAGE_NOT_RECORDED": missing,
+        "COVERAGE_INCOMPLETE": (counts[0] | counts[1] | counts[2]) & ~missing,
+        "QUERIES_NOT_RECORDED": F.coalesce("n_queries", F.lit(0)) == 0,
+        "LIMITS_NOT_RECORDED": F.col("max_papers").isNull(),
+        "DEPTH_NOT_SPECIFIED": F.col("depth").isNull(),
+        "YEARS_NOT_SPECIFIED": F.col("years").isNull(),
+        "DEFAULTS_APPLIED": F.coalesce(F.size("defaults_applied"), F.lit(0)) > 0,
+        "QUOTES_DISCARDED": F.coalesce("no_quote_discarded", F.lit(0)) > 0,
+    }
+    rows = F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("code"), F.lit(REPORT_SEVERITY[n]).alias("severity"))) for n, c in holds.items())))).alias("r")
+    return report.select("graph_id", rows).select("graph_id", "r.*").orderBy("graph_id", F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), "code")
+
+
+def structural_limitations(findings: DataFrame, links: DataFrame, gaps: DataFrame, things: DataFrame, papers: DataFrame) -> DataFrame:
+    """code, severity, n for what contract checks find: dangling references, unaimed interventions, unknown words, missing hashes."""
+    from claimloom.operators import quality
+    from claimloom.vocabulary import RELATIONS, STUDY_QUALITY
+
+    n = lambda df, code, severity: df.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "n")
+    unknown = quality.out_of_vocabulary(papers, "study_type", list(STUDY_QUALITY)).select(F.col("study_type").alias("word")).unionByName(quality.out_of_vocabulary(findings, "how", RELATIONS).select(F.col("how").alias("word")))
+    out = n(quality.dangling_references(findings, links, gaps, things, papers), "DANGLING_REFERENCE", "high")
+    out = out.unionByName(n(quality.interventions_without_target(links, things), "INTERVENTIONS_WITHOUT_TARGET", "low"))
+    out = out.unionByName(n(unknown, "UNKNOWN_VALUE", "low"))
+    return out.unionByName(n(papers.where(F.coalesce("source_sha256", F.lit("")) == ""), "INTERPRETABILITY_PARTIAL", "low"))

@@ -115,3 +115,19 @@ def test_coverage_row(spark):
     c = spark.createDataFrame([(1, 2)], "no_quote_discarded long, duplicates_dropped long")
     r = audit.coverage(f, t, li, c).head()
     assert (r.quotes_unverified, r.proteins_without_accession_count, r.interventions_without_target_count, r.has_disease_node, r.confidence_profile.hedged_but_confident) == (1, 1, 1, False, 1)
+
+
+def test_report_and_structural_limitations(spark):
+    ddl = "graph_id string, status string, error string, found int, read int, used int, truncated boolean, n_queries int, max_papers int, depth string, years string, defaults_applied array<string>, no_quote_discarded int"
+    rows = [("g1", "complete", None, 71, 7, 2, False, 3, 25, "standard", "2010", [], 0), ("g2", "empty", None, None, None, None, True, None, None, None, None, ["ask: x"], 2), ("g3", "failed", "no answer", 5, None, 1, None, 1, 10, "quick", "2010", None, None)]
+    got = {}
+    for r in audit.report_limitations(spark.createDataFrame(rows, ddl)).collect():
+        got.setdefault(r.graph_id, []).append(r.code)
+    assert "g1" not in got and got["g2"][0] == "ROUND_EMPTY" and got["g2"][-1] == "DEFAULTS_APPLIED" and len(got["g2"]) == 9
+    assert got["g3"] == ["ROUND_ERROR", "COVERAGE_INCOMPLETE"]
+    f = spark.createDataFrame([("f1", "p1", "t1", "t9", "hits")], "id string, paper string, src string, dst string, how string")
+    li = spark.createDataFrame([("t1", "t9", ["f1"], [], [])], "src string, dst string, yes array<string>, no array<string>, no_effect array<string>")
+    g = spark.createDataFrame([], "a string, c string")
+    t = spark.createDataFrame([("t1", "method")], "id string, kind string")
+    p = spark.createDataFrame([("p1", "odd", None)], "id string, study_type string, source_sha256 string")
+    assert {r.code: r.n for r in audit.structural_limitations(f, li, g, t, p).collect()} == {"DANGLING_REFERENCE": 2, "INTERVENTIONS_WITHOUT_TARGET": 1, "UNKNOWN_VALUE": 2, "INTERPRETABILITY_PARTIAL": 1}
