@@ -48,8 +48,9 @@ def is_symbol(raw: Column) -> Column:
 def normalize_name(c: Column) -> Column:
     """Lower-cased words of a name without punctuation, and without the plural s unless it is a symbol."""
     words = collapsed(F.regexp_replace(F.lower(spelled_greek(_or_blank(c))), r"[^\p{L}\p{N}_\s]", " "))
-    plural = (F.char_length(words) > 3) & words.endswith("s") & ~words.endswith("ss") & ~is_symbol(c)
-    return F.when(plural, F.substring(words, 1, F.char_length(words) - 1)).otherwise(words)
+    plural = lambda w: (F.char_length(w) > 3) & w.endswith("s") & ~w.endswith("ss") & ~is_symbol(c)
+    # bound as a lambda's variable, so that the words are made once
+    return F.transform(F.array(words), lambda w: F.when(plural(w), F.substr(w, F.lit(1), F.char_length(w) - 1)).otherwise(w))[0]
 
 
 def compact_name(c: Column) -> Column:

@@ -22,10 +22,11 @@ def own_results(findings: DataFrame) -> DataFrame:
 
 def with_sources(findings: DataFrame, papers: DataFrame) -> DataFrame:
     """Claims with the quality, the author and the presence of their source, which may be missing."""
-    side = papers.select(F.col("id").alias("paper"), F.lit(True).alias("known"), F.col("study_type"), F.col("is_preprint"), F.col("first_author"))
-    points = F.when(F.col("known"), scoring.study_points(F.col("study_type"), F.col("is_preprint"))).otherwise(4000).cast("long")
-    author = F.when(F.col("known"), normalize_name(F.coalesce(F.nullif(F.col("first_author"), F.lit("")), F.col("paper"))))
-    return findings.join(side, "paper", "left").withColumns({"points": points, "author": author})
+    author = normalize_name(F.coalesce(F.nullif(F.col("first_author"), F.lit("")), F.col("id")))
+    points = scoring.study_points(F.col("study_type"), F.col("is_preprint"))
+    # once for each source, not for each claim
+    side = papers.select(F.col("id").alias("paper"), F.lit(True).alias("known"), points.alias("points"), author.alias("author"))
+    return findings.join(side, "paper", "left").withColumn("points", F.coalesce("points", F.lit(4000).cast("long")))
 
 
 def link_measures(findings: DataFrame, papers: DataFrame) -> DataFrame:
