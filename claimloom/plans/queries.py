@@ -152,8 +152,8 @@ routes as (select *, s * (1 / sqrt(count(*) over (partition by hub))) as score,
 
 
 def _gap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers, parts of size 1 and nations as a graph whose triangles can close."""
-    parts = table(spark, sf_dir, "part").where("p_size = 1").select("p_partkey")
+    """Suppliers, parts and nations as a graph whose triangles can close."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
     sold = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     n = F.count("*")
@@ -602,7 +602,7 @@ def slug_ids(spark, sf_dir):
 @query(_GAP_LINKS + """, pairs as (select distinct a, c from wedges where a like 's%'), names as (select 's' || s_suppkey as id, s_name as name from supplier union all select 'n' || n_nationkey, n_name from nation)
 select a, c, coalesce(x.name, a) || ' ~ ' || coalesce(y.name, c) as label from pairs left join names x on x.id = a left join names y on y.id = c""")
 def gap_labels(spark, sf_dir):
-    pairs = gaps.wedges(gaps.undirected_edges(_gap_links(spark, sf_dir))).where("a like 's%'").select("a", "c").distinct()
+    pairs = gaps.wedges(gaps.undirected_edges(_gap_links(spark, sf_dir))).select("a", "c").distinct()
     return audit.gap_labels(pairs, evidence(spark, sf_dir, "things").where("kind <> 'protein'")).select("a", "c", "label")
 
 
