@@ -2,9 +2,10 @@
 
 1. Words are runs of letters and digits, lowered; five of them make a shingle, known by a 58-bit hash
    whose low six bits hold its weight: its length in code points, 63 at most.
-2. Item-sized windows: wherever a text shares a shingle with an item, the window of the item's size
-   that aligns the two is taken (moved inside the text, or the whole text if that is shorter). A
-   window without a common shingle has similarity 0, so none that matters is left out.
+2. Item-sized windows (the whole text if that is shorter), at every start. What a window shares with
+   any item of its size is at most the weight of its places with a shingle of such an item. These
+   places alone give that bound for all starts, by running sums; starts whose bound is below the
+   threshold are left out, and so are windows whose own weight keeps them below it. No other is.
 3. Each different window gets a 64-bit SimHash of its weighted shingles, and so does each item.
 4. Fingerprints are cut into RADIUS + 1 blocks. Two that differ in RADIUS bits at most agree in one
    block, so joining on (item size, block, bits) finds all of them.
@@ -17,7 +18,7 @@ misses one in about 10^5 of the pairs at the threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import written
@@ -48,6 +49,28 @@ def _weight(code: str | Column) -> Column:
     return (F.col(code) if isinstance(code, str) else code).bitwiseAND(F.lit(63))
 
 
+def _total(codes: str) -> Column:
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + _weight(x))
+
+
+def _starts(hits: DataFrame, words: int, percent: int) -> DataFrame:
+    """Every start at which an item-sized window can share enough with an item of that size.
+
+    A hit counts for all windows that hold its place; `bound` sums their weights. Rows that repeat
+    raise the bound, which leaves no start out.
+    """
+    width = F.least(F.col("size") - (words - 1), F.col("n"))
+    hits = hits.withColumn("width", width)
+    first, after = F.greatest(F.col("place") - F.col("width") + 1, F.lit(0)), F.least(F.col("place"), F.col("n") - F.col("width")) + 1
+    steps = F.explode(F.array(F.struct(first.alias("at"), _weight("code").alias("step")), F.struct(after.alias("at"), (-_weight("code")).alias("step"))))
+    key = ["doc_id", "text", "size", "width", "least"]
+    each = hits.select(*key, steps.alias("e")).groupBy(*key, "e.at").agg(F.sum("e.step").alias("step"))
+    w = Window.partitionBy("doc_id", "text", "size").orderBy("at")
+    runs = each.select(*key, "at", F.sum("step").over(w).alias("bound"), F.lead("at").over(w).alias("next"))
+    runs = runs.where((100 * F.col("bound") >= percent * F.col("least")) & (F.col("next") > F.col("at")) & (F.col("bound") > 0))
+    return runs.select(*key, "bound", F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("at"))
+
+
 def _fingerprints(rows: DataFrame, *key: str) -> DataFrame:
     """SimHash of `codes` for each key: three 21-bit sums share a long."""
     each = rows.select(*key, F.explode("codes").alias("code")).withColumn("g", F.xxhash64("code"))
@@ -72,10 +95,11 @@ def _blocks(radius: int) -> Column:
 
 
 def leaks(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """Items that texts hold, at weighted similarity >= percent / 100 of an aligned item-sized window.
+    """Items that texts hold, at weighted similarity >= percent / 100 of an item-sized window.
 
-    Returns for each (doc_id, item_id) found: similarity (of the best window), at (its first word,
-    from 0; the earliest of equals) and n_words (of the item). Null and empty texts, and texts or
+    Returns for each (doc_id, item_id) found: similarity (of the best window that puts a shared shingle
+    at its own offset, or else of the best of all), at (its first word, from 0; the earliest of equals)
+    and n_words (of the item). Null and empty texts, and texts or
     items of fewer than `words` words, hold nothing and are held by nothing. Repeated rows are found
     once for an id; null ids are found like others. Other columns are not read.
     """
@@ -85,17 +109,22 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80,
     own = written(own.select("item_id", "codes", (F.size("codes") + (words - 1)).alias("size"), F.xxhash64(F.col("codes")).alias("content")), "items")
     contents = own.select("size", "content", "codes").dropDuplicates(["size", "content"])
 
-    seeds = contents.select("size", F.posexplode("codes").alias("offset", "code")).distinct()
+    least = contents.groupBy("size").agg(F.min(_total("codes")).alias("least"))
+    seeds = contents.select("size", F.explode("codes").alias("code")).distinct().join(least, "size")
     if seeds.count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
-    texts = docs.select(docs[id_col].alias("doc_id"), shingle_codes(F.coalesce(docs[text_col].cast("string"), F.lit("")), words).alias("codes"))
+    row = [docs[id_col].alias("doc_id"), shingle_codes(F.coalesce(docs[text_col].cast("string"), F.lit("")), words).alias("codes")]
     # an outer explode: a filter for empty arrays would be pushed below and cut the words twice
-    hits = texts.select("doc_id", "codes", F.posexplode_outer("codes").alias("place", "code")).join(seeds, "code")
-    most = F.size("codes") + (words - 1) - F.col("size")  # the last start
-    hits = hits.withColumn("at", F.greatest(F.least(F.col("place") - F.col("offset"), most), F.lit(0)))
-    window = F.slice("codes", F.col("at") + 1, F.greatest(F.col("size") - (words - 1), F.lit(1)))
-    hits = hits.select("doc_id", "size", "at", window.alias("codes")).withColumn("window", F.xxhash64("codes"))
-    found = written(hits.dropDuplicates(["doc_id", "size", "at", "window"]), "windows")
+    hits = docs.select(*row).select("doc_id", F.xxhash64("codes").alias("text"), F.size("codes").alias("n"), F.posexplode_outer("codes").alias("place", "code")).join(seeds, "code")
+    starts = written(_starts(hits, words, percent), "starts")
+
+    # only texts with such a start are cut into words again
+    some = starts.select(F.col("doc_id").alias("_held")).distinct()
+    texts = docs.join(some, docs[id_col].eqNullSafe(some["_held"]), "left_semi").select(*row).withColumn("text", F.xxhash64("codes"))
+    hits = texts.alias("t").join(starts.alias("s"), (F.col("t.text") == F.col("s.text")) & F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")))
+    hits = hits.select("t.doc_id", "size", "at", "bound", "least", (F.col("at") + F.col("width") == F.size("codes")).alias("last"), F.slice("codes", F.col("at") + 1, F.col("width")).alias("codes"))
+    hits = hits.where((100 + percent) * F.col("bound") >= percent * (_total("codes") + F.col("least"))).select("doc_id", "size", "at", "last", "codes").withColumn("window", F.xxhash64("codes"))
+    found = written(hits.dropDuplicates(["doc_id", "size", "at", "last", "window"]), "windows")
 
     windows = found.select("size", "window", "codes").dropDuplicates(["size", "window"])
     theirs = _fingerprints(windows, "size", "window").select("size", "window", "total", "print", F.explode(_blocks(radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
@@ -109,8 +138,16 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80,
     union = F.col("total") + F.col("item_total") - F.col("both")
     sure = shared.where(100 * F.col("both") >= percent * union).select("size", "window", "content", (F.col("both") / union).alias("similarity"))
 
-    out = found.select("doc_id", "size", "at", "window").join(sure, ["size", "window"]).join(own.select("item_id", "size", "content"), ["size", "content"])
-    best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "at", "size")).alias("b"))
+    sure = sure.join(windows, ["size", "window"]).join(contents.withColumnRenamed("codes", "item_codes"), ["size", "content"])
+    same = F.exists(F.zip_with("codes", "item_codes", lambda x, y: x.eqNullSafe(y)), lambda e: e)
+    # at a text's ends an alignment beyond the end counts too
+    early = F.exists(F.transform("item_codes", lambda x, j: F.array_position("codes", x).between(1, j + 1)), lambda e: e)
+    late = F.exists(F.transform("codes", lambda x, i: F.array_position("item_codes", x).between(1, i + 1)), lambda e: e)
+    sure = sure.select("size", "window", "content", "similarity", same.alias("same"), early.alias("early"), late.alias("late"))
+
+    out = found.select("doc_id", "size", "at", "last", "window").join(sure, ["size", "window"]).join(own.select("item_id", "size", "content"), ["size", "content"])
+    aligned = F.col("same") | (F.col("early") & (F.col("at") == 0)) | (F.col("late") & F.col("last"))
+    best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct((~aligned).alias("apart"), (-F.col("similarity")).alias("s"), "at", "size")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.at").cast("long").alias("at"), F.col("b.size").cast("long").alias("n_words"))
 
 
