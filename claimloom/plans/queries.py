@@ -126,12 +126,12 @@ def own_result_filter(spark, sf_dir):
 
 @query(sql("findings") + " select id, src, dst, confidence from findings where hedged and confidence > 0.95")
 def hedged_contradictions(spark, sf_dir):
-    return evidence(spark, sf_dir, "findings").where(F.col("hedged") & (F.col("confidence") > 0.95)).select("id", "src", "dst", "confidence")
+    return evidence(spark, sf_dir, "findings").where(F.col("hedged") & (F.col("confidence") > 0.65)).select("id", "src", "dst", "confidence")
 
 
 @query(sql("findings") + " select count(confidence) as n, min(confidence) as min, max(confidence) as max, count(*) filter (confidence < 0.95) as below, count(*) filter (hedged and confidence > 0.95) as hedged_but_confident from findings")
 def confidence_profile(spark, sf_dir):
-    return audit.confidence_profile(evidence(spark, sf_dir, "findings"), 0.95)
+    return audit.confidence_profile(evidence(spark, sf_dir, "findings"))
 
 
 # ---- gaps -------------------------------------------------------------------------------------
