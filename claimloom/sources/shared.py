@@ -6,20 +6,30 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Deletes a job's shuffle files when the job has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made and set.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only on one machine (a local master, as
+    in tests) a temporary folder is made where that is unset, and set; elsewhere each executor would
+    write to a disk of its own, so an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         ours = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = ours.get() if ours.isDefined() else f"file://{tempfile.mkdtemp(prefix='claimloom-')}"
+        if ours.isDefined():
+            found = ours.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            found = f"file://{tempfile.mkdtemp(prefix='claimloom-')}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -32,20 +42,36 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, **values):
+    """Session settings that hold inside the block only; names are given with "__" for "."."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """`df`, written as Parquet in the shared folder and read again: lineage ends here.
 
-    Losing an executor later costs a read, never a recomputation. The collection lets Spark's cleaner
-    delete the shuffle files of the finished job, whose plan nothing refers to any longer.
+    Losing an executor later costs a read, never a recomputation. Shuffle files of the job go when it
+    has ended. What `dropped` has not deleted goes when the driver ends; what a killed driver leaves
+    lies in one folder named after its application.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    path = os.path.join(shared_dir(spark), f"claimloom-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+    out = df.write if codec is None else df.write.option("compression", codec)
+    with setting(spark, **{_CLEANUP.replace(".", "__"): "true"}):
+        out.parquet(path)
     atexit.register(delete, spark, path)
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
 
 
 def dropped(*tables: DataFrame) -> None:
