@@ -2,18 +2,24 @@
 
 1. Words are runs of letters and digits, lowered; five of them make a shingle, known by a 58-bit hash
    whose low six bits hold its weight: its length in code points, 63 at most.
-2. Item-sized windows (the whole text if that is shorter), at every start. What a window shares with
-   any item of its size is at most the weight of its places with a shingle of such an item. These
-   places alone give that bound for all starts, by running sums; starts whose bound is below the
-   threshold are left out, and so are windows whose own weight keeps them below it. No other is.
-3. Each different window gets a 64-bit SimHash of its weighted shingles, and so does each item.
-4. Fingerprints are cut into RADIUS + 1 blocks. Two that differ in RADIUS bits at most agree in one
-   block, so joining on (item size, block, bits) finds all of them.
-5. These candidates are confirmed by exact weighted similarity: the sum over shingles of the smaller
+2. An item's seeds are its rarest shingles (by the number of items that hold them) of just more than
+   1 - T of its weight. Whatever reaches similarity T shares at least T of the item's weight, and so a
+   seed; a shingle that many items share is a seed of few. One pass over all texts finds the pairs of
+   a text and an item that share one.
+3. Item-sized windows of such a text (the whole text if that is shorter), at every start. What a
+   window shares with the item is at most the weight of its places with a shingle of that item;
+   running sums over these places bound it for all starts. Starts, and then windows by their own
+   weight, that this bound keeps below the threshold are left out. No other is.
+4. Each different window gets a 64-bit SimHash of its weighted shingles, and so does each item.
+5. Fingerprints are cut into RADIUS + 1 blocks. Two that differ in RADIUS bits at most agree in one
+   block, so joining on (item, block, bits) finds all of them. The item is part of the key: no window
+   meets an item whose seeds its text lacks, so windows x items is never formed.
+6. These candidates are confirmed by exact weighted similarity: the sum over shingles of the smaller
    weighted count against the sum of the larger.
 
 A pair at similarity 0.8 differs in about 10 of 64 bits, with a deviation of 3, so a radius of 23
-misses one in about 10^5 of the pairs at the threshold.
+misses one in about 10^5 of the pairs at the threshold. At this distance no set of blocks is both
+sure to find all within the radius and selective against unlike pairs; that is the seeds' part.
 """
 
 from __future__ import annotations
@@ -53,21 +59,29 @@ def _total(codes: str) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + _weight(x))
 
 
+def _seeds(contents: DataFrame, percent: int) -> DataFrame:
+    """(content, code): the rarest shingles of each item whose weight is just above 1 - T of the item's."""
+    each = contents.select("content", "total", F.explode("codes").alias("code")).groupBy("content", "total", "code").agg((F.count("*") * F.first(_weight("code"))).alias("own"))
+    spread = each.groupBy("code").agg(F.count("*").alias("items"))
+    before = Window.partitionBy("content").orderBy("items", "code").rowsBetween(Window.unboundedPreceding, -1)  # one item's shingles
+    ranked = each.join(spread, "code").withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    return ranked.where(100 * F.col("before") <= (100 - percent) * F.col("total")).select("content", "code")
+
+
 def _starts(hits: DataFrame, words: int, percent: int) -> DataFrame:
-    """Every start at which an item-sized window can share enough with an item of that size.
+    """Every start at which an item-sized window can share enough with its item.
 
     A hit counts for all windows that hold its place; `bound` sums their weights. Rows that repeat
     raise the bound, which leaves no start out.
     """
-    width = F.least(F.col("size") - (words - 1), F.col("n"))
-    hits = hits.withColumn("width", width)
+    hits = hits.withColumn("width", F.least(F.col("size") - (words - 1), F.col("n")))
     first, after = F.greatest(F.col("place") - F.col("width") + 1, F.lit(0)), F.least(F.col("place"), F.col("n") - F.col("width")) + 1
     steps = F.explode(F.array(F.struct(first.alias("at"), _weight("code").alias("step")), F.struct(after.alias("at"), (-_weight("code")).alias("step"))))
-    key = ["doc_id", "text", "size", "width", "least"]
+    key = ["doc_id", "text", "content", "width", "item_total"]
     each = hits.select(*key, steps.alias("e")).groupBy(*key, "e.at").agg(F.sum("e.step").alias("step"))
-    w = Window.partitionBy("doc_id", "text", "size").orderBy("at")
+    w = Window.partitionBy("doc_id", "text", "content").orderBy("at")
     runs = each.select(*key, "at", F.sum("step").over(w).alias("bound"), F.lead("at").over(w).alias("next"))
-    runs = runs.where((100 * F.col("bound") >= percent * F.col("least")) & (F.col("next") > F.col("at")) & (F.col("bound") > 0))
+    runs = runs.where((100 * F.col("bound") >= percent * F.col("item_total")) & (F.col("next") > F.col("at")) & (F.col("bound") > 0))
     return runs.select(*key, "bound", F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("at"))
 
 
@@ -97,61 +111,60 @@ def _blocks(radius: int) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Items that texts hold, at weighted similarity >= percent / 100 of an item-sized window.
 
-    Returns for each (doc_id, item_id) found: similarity (of the best window that puts a shared shingle
-    at its own offset, or else of the best of all), at (its first word, from 0; the earliest of equals)
-    and n_words (of the item). Null and empty texts, and texts or
-    items of fewer than `words` words, hold nothing and are held by nothing. Repeated rows are found
-    once for an id; null ids are found like others. Other columns are not read.
+    Returns for each (doc_id, item_id) found: similarity (of the best window of all starts), at (its
+    first word, from 0; the earliest of equals) and n_words (of the item). Null and empty texts, and
+    texts or items of fewer than `words` words, hold nothing and are held by nothing. Repeated rows
+    are found once for an id; null ids are found like others. A very long text only has more places:
+    no step holds more of it than its own row. Empty tables give no rows. Other columns are not read.
     """
     if not 0 <= radius < 64:
         raise ValueError("the radius must be from 0 to 63")
     own = items.select(items[item_col].alias("item_id"), shingle_codes(F.coalesce(items[text_col].cast("string"), F.lit("")), words).alias("codes")).where(F.size("codes") > 0)
     own = written(own.select("item_id", "codes", (F.size("codes") + (words - 1)).alias("size"), F.xxhash64(F.col("codes")).alias("content")), "items")
-    contents = own.select("size", "content", "codes").dropDuplicates(["size", "content"])
+    contents = own.select("content", "size", _total("codes").alias("item_total"), "codes").dropDuplicates(["content"])
 
-    least = contents.groupBy("size").agg(F.min(_total("codes")).alias("least"))
-    seeds = contents.select("size", F.explode("codes").alias("code")).distinct().join(least, "size")
+    seeds = written(_seeds(contents.withColumnRenamed("item_total", "total"), percent), "seeds")
     if seeds.count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     row = [docs[id_col].alias("doc_id"), shingle_codes(F.coalesce(docs[text_col].cast("string"), F.lit("")), words).alias("codes")]
     # an outer explode: a filter for empty arrays would be pushed below and cut the words twice
-    hits = docs.select(*row).select("doc_id", F.xxhash64("codes").alias("text"), F.size("codes").alias("n"), F.posexplode_outer("codes").alias("place", "code")).join(seeds, "code")
-    starts = written(_starts(hits, words, percent), "starts")
+    first = docs.select(*row).select("doc_id", F.xxhash64("codes").alias("text"), F.explode_outer("codes").alias("code")).join(seeds, "code")
+    pairs = written(first.select("doc_id", "text", "content").distinct(), "pairs")
 
-    # only texts with such a start are cut into words again
-    some = starts.select(F.col("doc_id").alias("_held")).distinct()
+    # only texts with such a pair are cut into words again
+    some = pairs.select(F.col("doc_id").alias("_held")).distinct()
     texts = docs.join(some, docs[id_col].eqNullSafe(some["_held"]), "left_semi").select(*row).withColumn("text", F.xxhash64("codes"))
-    hits = texts.alias("t").join(starts.alias("s"), (F.col("t.text") == F.col("s.text")) & F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")))
-    hits = hits.select("t.doc_id", "size", "at", "bound", "least", (F.col("at") + F.col("width") == F.size("codes")).alias("last"), F.slice("codes", F.col("at") + 1, F.col("width")).alias("codes"))
-    hits = hits.where((100 + percent) * F.col("bound") >= percent * (_total("codes") + F.col("least"))).select("doc_id", "size", "at", "last", "codes").withColumn("window", F.xxhash64("codes"))
-    found = written(hits.dropDuplicates(["doc_id", "size", "at", "last", "window"]), "windows")
+    asked = pairs.join(contents.select("content", "size", "item_total", F.explode(F.array_distinct("codes")).alias("code")), "content")
+    places = texts.select("doc_id", "text", F.size("codes").alias("n"), F.posexplode_outer("codes").alias("place", "code"))
+    hits = places.alias("t").join(asked.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.text") == F.col("a.text")) & (F.col("t.code") == F.col("a.code")))
+    hits = hits.select("t.doc_id", "t.text", "content", "size", "item_total", "n", "place", "t.code")
+    starts = written(_starts(hits, words, percent), "starts")
+
+    cut = texts.alias("t").join(starts.alias("s"), (F.col("t.text") == F.col("s.text")) & F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")))
+    cut = cut.select("t.doc_id", "content", "at", "bound", "item_total", F.slice("codes", F.col("at") + 1, F.col("width")).alias("codes"))
+    cut = cut.where((100 + percent) * F.col("bound") >= percent * (_total("codes") + F.col("item_total"))).select("doc_id", "content", "at", "codes").withColumn("window", F.xxhash64("codes"))
+    found = written(cut.dropDuplicates(["doc_id", "content", "at", "window"]), "windows")
 
-    windows = found.select("size", "window", "codes").dropDuplicates(["size", "window"])
-    theirs = _fingerprints(windows, "size", "window").select("size", "window", "total", "print", F.explode(_blocks(radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
-    ours = _fingerprints(contents, "size", "content").select("size", "content", F.col("total").alias("item_total"), F.col("print").alias("item_print"), "print", F.explode(_blocks(radius)).alias("b")).select("size", "content", "item_total", "item_print", "b.block", "b.bits")
-    near = theirs.join(ours, ["size", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    near = near.select("size", "window", "content", "total", "item_total").distinct()
+    windows = found.select("content", "window", "codes").dropDuplicates(["content", "window"])
+    theirs = _fingerprints(windows, "content", "window").select("content", "window", "total", "print", F.explode(_blocks(radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
+    ours = _fingerprints(contents, "content").select("content", F.col("total").alias("item_total"), F.col("print").alias("item_print"), F.explode(_blocks(radius)).alias("b")).select("content", "item_total", "item_print", "b.block", "b.bits")
+    near = theirs.join(ours, ["content", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    near = near.select("content", "window", "total", "item_total").distinct()
 
     count = lambda df, *key: df.select(*key, F.explode("codes").alias("code")).groupBy(*key, "code").agg(F.count("*").alias("n"))
-    shared = near.join(count(windows, "size", "window"), ["size", "window"]).join(count(contents, "size", "content").withColumnRenamed("n", "item_n"), ["size", "content", "code"])
-    shared = shared.groupBy("size", "window", "content", "total", "item_total").agg(F.sum(F.least("n", "item_n") * _weight("code")).alias("both"))
+    shared = near.join(count(windows, "content", "window"), ["content", "window"]).join(count(contents, "content").withColumnRenamed("n", "item_n"), ["content", "code"])
+    shared = shared.groupBy("content", "window", "total", "item_total").agg(F.sum(F.least("n", "item_n") * _weight("code")).alias("both"))
     union = F.col("total") + F.col("item_total") - F.col("both")
-    sure = shared.where(100 * F.col("both") >= percent * union).select("size", "window", "content", (F.col("both") / union).alias("similarity"))
-
-    sure = sure.join(windows, ["size", "window"]).join(contents.withColumnRenamed("codes", "item_codes"), ["size", "content"])
-    same = F.exists(F.zip_with("codes", "item_codes", lambda x, y: x.eqNullSafe(y)), lambda e: e)
-    # at a text's ends an alignment beyond the end counts too
-    early = F.exists(F.transform("item_codes", lambda x, j: F.array_position("codes", x).between(1, j + 1)), lambda e: e)
-    late = F.exists(F.transform("codes", lambda x, i: F.array_position("item_codes", x).between(1, i + 1)), lambda e: e)
-    sure = sure.select("size", "window", "content", "similarity", same.alias("same"), early.alias("early"), late.alias("late"))
+    sure = shared.where(100 * F.col("both") >= percent * union).select("content", "window", (F.col("both") / union).alias("similarity"))
 
-    out = found.select("doc_id", "size", "at", "last", "window").join(sure, ["size", "window"]).join(own.select("item_id", "size", "content"), ["size", "content"])
-    aligned = F.col("same") | (F.col("early") & (F.col("at") == 0)) | (F.col("late") & F.col("last"))
-    best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct((~aligned).alias("apart"), (-F.col("similarity")).alias("s"), "at", "size")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.at").cast("long").alias("at"), F.col("b.size").cast("long").alias("n_words"))
+    out = found.select("doc_id", "content", "at", "window").join(sure, ["content", "window"])
+    best = out.groupBy("doc_id", "content").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "at")).alias("b"))
+    best = best.join(own.select("item_id", "content", "size"), "content")
+    return best.select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.at").cast("long").alias("at"), F.col("size").cast("long").alias("n_words"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """`docs`, all columns, without the rows whose id holds an item."""
+    """`docs`, all columns, without the rows whose id holds an item. Rows that hold none stay as they
+    are, null and empty texts and repeated rows included; of an empty table nothing is left to remove."""
     held = leaks(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_held")).distinct()
     return docs.join(held, docs[id_col].eqNullSafe(held["_held"]), "left_anti")

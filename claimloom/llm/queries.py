@@ -27,10 +27,11 @@ with dw as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\p
 d as (select doc_id, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) as sh, len(ws) as n from dw where len(ws) >= 5),
 q as (select item_id, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) as sh, len(ws) as n from iw where len(ws) >= 5),
 ds as (select doc_id, n, unnest(sh) as s, generate_subscripts(sh, 1) - 1 as place from d), qs as (select item_id, n, unnest(sh) as s, generate_subscripts(sh, 1) - 1 as off from q),
-win as (select distinct ds.doc_id, qs.item_id, qs.n as len, greatest(least(place - off, ds.n - qs.n), 0) as "at" from ds join qs using (s)),
-ws as (select win.doc_id, win.item_id, win.len, win."at", ds.s, count(*) as c from win join ds on ds.doc_id = win.doc_id and ds.place between win."at" and win."at" + greatest(win.len - 5, 0) group by all),
+hits as (select ds.doc_id, qs.item_id, qs.n as len, least(qs.n - 4, ds.n - 4) as w, ds.n - 4 as m, place from ds join qs using (s)),
+win as (select distinct doc_id, item_id, len, w, unnest(range(greatest(place - w + 1, 0), least(place, m - w) + 1)) as "at" from hits),
+ws as (select win.doc_id, win.item_id, win.len, win."at", ds.s, count(*) as c from win join ds on ds.doc_id = win.doc_id and ds.place between win."at" and win."at" + win.w - 1 group by all),
 qc as (select item_id, s, count(*) as c from qs group by all), qt as (select item_id, sum(c * least(63, length(s))) as total from qc group by item_id),
-m as (select ws.doc_id, ws.item_id, ws.len, ws."at", sum(ws.c * least(63, length(ws.s))) as total, coalesce(sum(least(ws.c, qc.c) * least(63, length(ws.s))), 0) as both_ from ws left join qc on qc.item_id = ws.item_id and qc.s = ws.s group by all),
+m as (select ws.doc_id, ws.item_id, ws.len, ws."at", sum(ws.c * least(63, length(ws.s))) as total, coalesce(sum(least(ws.c, qc.c) * least(63, length(ws.s))) filter (qc.c is not null), 0) as both_ from ws left join qc on qc.item_id = ws.item_id and qc.s = ws.s group by all),
 r as (select m.*, both_ / (m.total + qt.total - both_)::double as similarity from m join qt using (item_id) where 100 * both_ >= 80 * (m.total + qt.total - both_))
 select doc_id, item_id, max(similarity) as similarity, cast(arg_min("at", (-similarity, "at")) as bigint) as "at", cast(any_value(len) as bigint) as n_words from r group by doc_id, item_id
 """
