@@ -1,32 +1,38 @@
 """MinHash near-duplicates with sequential Bayesian verification and exact confirmation.
 
-1. Each text becomes its set of hashed word shingles, a signature of 128 minima and a digest of the
-   set. Texts with equal sets are one class from here on, so exact copies cost nothing more.
+1. Each text becomes its set of hashed word shingles, a signature of 128 minima and a 128-bit digest of
+   the set. Texts with equal sets are one class from here on, so exact copies cost nothing more. A
+   class is known by half of its digest; where the other half shows that two classes share it, they
+   get numbers of their own.
 2. 32 bands of four minima make buckets (a pair at the threshold of 0.85 shares none with a chance
    of 5e-11). Each member is paired with its bucket's first: as many pairs as members.
 3. A pair's signatures are compared in batches of 16 minima. After each batch the pair goes if the
    posterior probability that its similarity reaches the threshold, after the matches so far and a
    uniform prior, falls below MISS.
 4. Survivors are confirmed on their full sets; only these links count.
-5. A bucket of three or more whose members are not all in one component yet is compared further, in
-   blocks of bounded size, pair against pair across components, by the same test and the same
-   confirmation; confirmed links join components at once, so a block of n texts yields under n links.
-6. Components come from alternating large-star and small-star steps, each written to the shared folder.
-
-Shingles and sets are known by 64-bit hashes.
+5. A bucket of more than BLOCK whose members are not all in one component yet is split by every other
+   band, and steps 2 to 4 are taken in each part. (A pair at 0.85 that shares one band shares no other
+   with a chance of 2e-9, one at 0.8 with 1e-6.)
+6. What is still open is compared in blocks of bounded size, pair against pair across components: first
+   by signatures alone; only texts with a surviving partner are then sent to the exact confirmation.
+   Confirmed links join components at once, so a block of n texts yields under n links.
+7. Components come from alternating large-star and small-star steps, each written to the shared folder.
+
+Shingles are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import struct
 from functools import lru_cache
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import arrow_limits, dropped, fields, map_rows, written
-from claimloom.llm.hashing import mixed, shingles
+from claimloom.llm.hashing import shingles
 
 BANDS, ROWS, BATCH = 32, 4, 16
 HASHES = BANDS * ROWS
@@ -51,11 +57,11 @@ def signature(items: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def set_id(items: np.ndarray) -> int:
-    """A signed 64-bit digest of a sorted set."""
+def digest(items: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit halves of a 128-bit digest of a sorted set."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes())).astype(np.int64))
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(items.tobytes()))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -95,18 +101,22 @@ def surviving(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signed(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_id and signature of every text."""
+    """doc_id, text_key, n_shingles, bytes, set_id, mate (the digest's halves) and signature of every text."""
     rows = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    schema = fields(f"doc_id {df.schema[id_col].dataType.simpleString()}, text_key bigint, n_shingles bigint, set_id bigint, signature binary")
+    schema = fields(f"doc_id {df.schema[id_col].dataType.simpleString()}, text_key bigint, n_shingles bigint, bytes bigint, set_id bigint, mate bigint, signature binary")
 
     def make():
         def step(cols):
             out = {n: [] for n in schema.fieldNames()} | {"doc_id": cols["doc_id"], "text_key": cols["text_key"]}
             for text in cols["text"]:
-                items = shingles(text.as_buffer().to_pybytes(), words)
+                raw = text.as_buffer().to_pybytes()
+                items = shingles(raw, words)
+                own, mate = digest(items) if len(items) else (None, None)
                 out["n_shingles"].append(len(items))
-                out["set_id"].append(set_id(items) if len(items) else None)
+                out["bytes"].append(len(raw))
+                out["set_id"].append(own)
+                out["mate"].append(mate)
                 out["signature"].append(signature(items).tobytes() if len(items) else None)
             return out
 
@@ -115,6 +125,16 @@ def signed(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     return map_rows(rows, schema, make)
 
 
+def told_apart(base: DataFrame) -> DataFrame:
+    """`base` with a set_id of its own for each class: those whose halves differ under one set_id are numbered anew."""
+    shared = base.groupBy("set_id").agg(F.min("mate").alias("low"), F.max("mate").alias("high")).where("low <> high")
+    shared = written(shared.select("set_id", F.lit(True).alias("apart")), "apart")
+    if shared.isEmpty():
+        return base
+    rows = base.join(shared, "set_id", "left")
+    return rows.withColumn("set_id", F.when(F.col("apart"), F.xxhash64("set_id", "mate")).otherwise(F.col("set_id"))).drop("apart")
+
+
 def _pruned(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose signatures pass all batches."""
     of = lambda x: sets.select(F.col("set_id").alias(x), F.col("signature").alias(f"signature_{x}"))
@@ -182,66 +202,106 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links across components inside unresolved buckets. `members`: bucket, set_id, root.
+def _units(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Units of work inside buckets: bucket, i, j (a pair of blocks, or one with itself), set_id, root, block.
 
-    Each bucket is cut into blocks of BLOCK texts and BLOCK_BYTES; every pair of blocks (one with
-    itself included) is one unit of work, in which pairs of different components are compared until
-    joined.
+    `members`: bucket, set_id, root. A bucket is cut into blocks of BLOCK texts and BLOCK_BYTES.
     """
-    m = members.join(texts.select("set_id", F.octet_length("text").cast("long").alias("bytes")), "set_id")
+    m = members.join(sets.select("set_id", "bytes"), "set_id")
     share = F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)
     # dealt by hash, not by a window over the bucket: no task needs a whole bucket
-    blocks = written(m.groupBy("bucket").agg((F.ceil(share) - 1).cast("int").alias("last")), "blocks")
-    m = m.join(blocks, "bucket").select("bucket", "set_id", "root", F.pmod(F.xxhash64("set_id"), F.col("last") + 1).cast("int").alias("block"), "last")
-    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    m = m.select("bucket", "set_id", "root", "block", other)
-    m = m.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "root", "block")
-    m = m.join(texts, "set_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "set_id")
-    m = m.select("bucket", "i", "j", "set_id", "root", "block", "text")
-    arrow_limits(members.sparkSession)
-
-    def compared(group):
-        first, second = group[0][0][1], group[0][0][2]
-        ids = [g[1] for g in group]
-        sets = [shingles(g[4], words) for g in group]
-        wide = np.stack([signature(s) for s in sets])
-        up: dict[int, int] = {}
-
-        def top(x):
-            while (y := up.get(x, x)) != x:
-                up[x] = x = up.get(y, y)
-            return x
-
-        for n in range(len(group)):
-            rest = np.array([k for k in range(n + 1, len(group)) if (first == second or group[k][3] != group[n][3]) and top(group[k][2]) != top(group[n][2])], np.int64)
-            if len(rest):
-                for k in rest[surviving(wide[rest], np.broadcast_to(wide[n], (len(rest), HASHES)), percent)]:
-                    if top(group[k][2]) != top(group[n][2]) and linked(sets[n], sets[k], percent):
-                        up[max(top(group[k][2]), top(group[n][2]))] = min(top(group[k][2]), top(group[n][2]))
-                        yield ids[n], ids[k]
+    blocks = m.groupBy("bucket").agg((F.ceil(share) - 1).cast("int").alias("last"))
+    m = m.join(blocks, "bucket").select("bucket", "set_id", "root", F.pmod(F.xxhash64("set_id"), F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    return m.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "root", "block")
+
+
+class _Unit:
+    """The members of one unit: rows of (set_id, root, block, signature)."""
+
+    def __init__(self, head: tuple, rows: list[tuple]):
+        self.ids = [r[0] for r in rows]
+        self.parts = np.unique(np.array([r[1] for r in rows], np.int64), return_inverse=True)[1]
+        self.block = np.array([r[2] for r in rows]) if head[1] != head[2] else None
+        self.wide = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, HASHES)
+
+    def partners(self, n: int, percent: int) -> np.ndarray:
+        """Later members of another component (and another block) whose signature passes against n's."""
+        apart = self.parts[n + 1 :] != self.parts[n]
+        if self.block is not None:
+            apart &= self.block[n + 1 :] != self.block[n]
+        rest = n + 1 + np.flatnonzero(apart)
+        return rest[surviving(self.wide[rest], np.broadcast_to(self.wide[n], (len(rest), HASHES)), percent)] if len(rest) else rest
+
+    def join(self, n: int, k: int) -> None:
+        self.parts[self.parts == self.parts[k]] = self.parts[n]
+
+
+def _by_unit(rows: DataFrame, schema: str, make) -> DataFrame:
+    """Rows of units (bucket, i, j, ...), whole units at a time, through make(head, rows) -> lists for `schema`."""
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "set_id")
+    arrow_limits(rows.sparkSession)
+    kind = fields(schema)
 
     def run(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        def out(pairs):
-            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        kinds = to_arrow_schema(kind)
+        head, group = None, []
 
-        group: list = []
-        for b in batches:
-            cols = [b.column(i) for i in range(7)]
-            heads = list(zip(*(c.to_pylist() for c in cols[:3]), strict=True))
-            rest = list(zip(*(c.to_pylist() for c in cols[3:6]), strict=True))
-            for i, head in enumerate(heads):
-                if group and group[0][0] != head:
-                    if pairs := list(compared(group)):
-                        yield out(pairs)
-                    group = []
-                group.append((head, *rest[i], cols[6][i].as_buffer().to_pybytes()))
-        if group and (pairs := list(compared(group))):
-            yield out(pairs)
+        def out():
+            found = make(head, group) if group else []
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kinds.field(i).type) for i in range(len(kinds))], schema=kinds) if found else None
 
-    return m.mapInArrow(run, fields("a bigint, b bigint"))
+        for b in batches:
+            heads = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+            rest = [b.column(i) for i in range(3, b.num_columns)]
+            rest = [[x.as_buffer().to_pybytes() for x in c] if pa.types.is_string(c.type) or pa.types.is_binary(c.type) else c.to_pylist() for c in rest]
+            for own, row in zip(heads, zip(*rest, strict=True), strict=True):
+                if own != head:
+                    if (got := out()) is not None:
+                        yield got
+                    head, group = own, []
+                group.append(row)
+        if (got := out()) is not None:
+            yield got
+
+    return rows.mapInArrow(run, kind)
+
+
+def _blocks(members: DataFrame, sets: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
+    """Links across components inside unresolved buckets. `members`: bucket, set_id, root;
+    `texts_of` gives (set_id, text) for a column of sets."""
+    units = written(_units(members, sets), "units")
+
+    def promising(head, rows):
+        unit, hit = _Unit(head, rows), np.zeros(len(rows), bool)
+        for n in range(len(rows)):
+            found = unit.partners(n, percent)
+            hit[found] = True
+            hit[n] |= len(found) > 0
+        return [(*head, *rows[k]) for k in np.flatnonzero(hit)]
+
+    signed_ = units.join(sets.select("set_id", "signature"), "set_id").select("bucket", "i", "j", "set_id", "root", "block", "signature")
+    left = written(_by_unit(signed_, "bucket bigint, i int, j int, set_id bigint, root bigint, block int, signature binary", promising), "promising")
+    dropped(units)
+    texts = written(texts_of(left.select("set_id")), "texts")
+
+    def confirmed(head, rows):
+        unit = _Unit(head, rows)
+        have = [shingles(r[4], words) for r in rows]
+        out = []
+        for n in range(len(rows)):
+            for k in unit.partners(n, percent):
+                if unit.parts[k] != unit.parts[n] and linked(have[n], have[k], percent):
+                    unit.join(n, k)
+                    out.append((unit.ids[n], unit.ids[k]))
+        return out
+
+    rows = left.join(texts, "set_id").select("bucket", "i", "j", "set_id", "root", "block", "signature", "text")
+    links = written(_by_unit(rows, "a bigint, b bigint", confirmed), "links")
+    dropped(left, texts)
+    return links
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +312,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
 
     Returns for every row doc_id, n_shingles, component_id (the smallest doc_id reachable, itself
     included) and kept (doc_id is component_id, null-safe). Rows with null ids take part; they are
-    never the smallest. Repeated rows share a component. Other columns are not read.
+    never the smallest. Repeated rows share a component. A very long text is one set like any other;
+    tasks hold few of them at once. An empty table gives no rows. Other columns are not read.
     """
     rooted = _rooted(df, words, percent, id_col, text_col)
     smallest = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -263,33 +324,26 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
 def deduplicated(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df`, all columns, with one row of each component: that of the smallest id (a null id only where
     there is no other; ties go by a hash of the text, and of repeated rows one stays). Texts without
-    words are linked with nothing, so all of them stay."""
-    rooted = _rooted(df, words, percent, id_col, text_col)
+    words are linked with nothing, so all of them stay. Columns of any name pass unchanged."""
+    rooted = written(_rooted(df, words, percent, id_col, text_col).select("doc_id", "text_key", "root"), "rooted")
     best = rooted.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s"))
-    stay = best.select(F.col("s.doc_id").alias("_id"), F.col("s.text_key").alias("_key"), F.lit(True).alias("_linked"))
-    stay = stay.unionByName(rooted.where("root is null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(False).alias("_linked")).distinct())
-    rows = df.withColumn("_text_key", F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))))
-    rows = rows.join(stay, rows[id_col].eqNullSafe(stay["_id"]) & (rows["_text_key"] == stay["_key"]))
-    first = F.row_number().over(Window.partitionBy(id_col, "_text_key").orderBy(F.lit(0)))
-    return rows.withColumn("_first", first).where("not _linked or _first = 1").select(*df.columns)
+    # a row is named by its id and its text's hash; what names several rows is cut to one of them
+    times = rooted.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"), F.bool_or(F.col("root").isNull()).alias("bare"))
+    stay = best.select(F.col("s.doc_id").alias("doc_id"), F.col("s.text_key").alias("text_key"), F.lit(True).alias("first"))
+    same = F.col("n.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("n.text_key") == F.col("f.text_key"))
+    named = times.alias("n").join(stay.alias("f"), same, "left").where("bare or first").select("n.doc_id", "n.text_key", ((F.col("times") > 1) & ~F.col("bare")).alias("several"))
+    rows = df.select(F.struct("*").alias("row"), df[id_col].alias("doc_id"), F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))).alias("text_key"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.text_key") == F.col("n.text_key"))
+    found = rows.alias("r").join(named.alias("n"), same).select("r.row", "r.doc_id", "r.text_key", "n.several")
+    one = found.where("several").groupBy("doc_id", "text_key").agg(F.any_value("row").alias("row")).select("row")
+    return found.where("not several").select("row").unionByName(one).select("row.*")
 
 
 def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key, n_shingles, set_id and root (the smallest set of the component; null without words) of every row."""
-    base = written(signed(df, words, id_col, text_col), "signed")
+    base = told_apart(written(signed(df, words, id_col, text_col), "signed"))
     real = base.where("n_shingles > 0")
-    sets = written(real.select("set_id", "signature").dropDuplicates(["set_id"]), "sets")
-
-    bands = sets.select("set_id", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "signature")
-    bands = bands.select("set_id", F.xxhash64("band", F.substring("signature", F.col("band") * (ROWS * 4) + 1, F.lit(ROWS * 4))).alias("bucket"))
-    # sums before the shuffle and a join that can be split, not a window: a bucket may hold a third of all sets
-    pivots = written(bands.groupBy("bucket").agg(F.min("set_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "pivots")
-    stars = written(bands.join(pivots, "bucket").where("set_id <> pivot"), "stars")
-
-    dropped(pivots)
-    pairs = stars.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
-    close = written(_pruned(pairs, sets, percent), "close")
-    dropped(sets)
+    sets = written(real.select("set_id", "bytes", "signature").dropDuplicates(["set_id"]), "sets")
 
     # one row's text for each set that is still needed
     source = real.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s")).select("set_id", "s.doc_id", "s.text_key")
@@ -300,26 +354,58 @@ def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
         found = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
         return found.select("set_id", "text").dropDuplicates(["set_id"])
 
-    ends = close.select(F.explode(F.array("a", "b")).alias("set_id"))
-    texts = written(texts_of(ends), "texts")
-    links = written(_confirmed(close, texts, words, percent), "links")
-    dropped(texts, close)
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that pass all batches and then hold on the full sets."""
+        close = written(_pruned(pairs, sets, percent), "close")
+        texts = written(texts_of(close.select(F.explode(F.array("a", "b")).alias("set_id"))), "texts")
+        links = written(_confirmed(close, texts, words, percent), "links")
+        dropped(close, texts)
+        return links
+
+    def in_stars(buckets: DataFrame) -> DataFrame:
+        """(bucket, band, set_id, pivot) for buckets of two or more, the pivot's own row left out."""
+        # sums before the shuffle and a join that can be split, not a window: a bucket may hold a third of all sets
+        pivots = buckets.groupBy("bucket").agg(F.min("set_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
+        return buckets.join(pivots, "bucket").where("set_id <> pivot")
+
+    def open_in(stars: DataFrame, found: DataFrame) -> DataFrame:
+        """Members (bucket, band, set_id, root, n) of buckets of three or more in more than one component, one for each membership."""
+        m = stars.select("bucket", "band", "set_id").unionByName(stars.select("bucket", "band", F.col("pivot").alias("set_id")).distinct())
+        m = m.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        once = m.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"))
+        once = once.where("n > 2 and low <> high").groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+        return written(m.join(once, "bucket").select("bucket", "band", "set_id", "root", "n"), "open")
+
+    banded = lambda rows, *more: rows.select(*more, "set_id", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "signature")
+    value = F.substring("signature", F.col("band") * (ROWS * 4) + 1, F.lit(ROWS * 4))
+    stars = written(in_stars(banded(sets).select("set_id", "band", F.xxhash64("band", value).alias("bucket"))), "stars")
+    links = confirmed(stars.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct())
     found = components(links)
-
-    # buckets of three or more texts in more than one component, one for each membership
-    members = stars.select("bucket", "set_id").unionByName(stars.select("bucket", F.col("pivot").alias("set_id")).distinct())
-    members = members.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    open_ = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"))
-    open_ = open_.where("n > 2 and low <> high").groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_ = written(members.join(open_, "bucket").select("bucket", "set_id", "root"), "open")
+    open_ = open_in(stars, found)
     dropped(stars)
+
+    large = open_.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        wide = large.select("bucket", F.col("band").alias("own"), "set_id", "root").join(sets.select("set_id", "signature"), "set_id")
+        parts = banded(wide, "bucket", "own", "root").where("band <> own").select("set_id", "band", F.xxhash64("bucket", "band", value).alias("bucket"))
+        stars = written(in_stars(parts), "stars")
+        rooted = found.withColumnRenamed("node", "set_id")
+        ends = stars.join(rooted, "set_id", "left").join(rooted.select(F.col("set_id").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
+        apart = F.coalesce("root", "set_id") != F.coalesce("pivot_root", "pivot")
+        more = confirmed(ends.where(apart).select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct())
+        links, last = written(links.unionByName(more), "links"), links
+        dropped(last, more)
+        found = components(links)
+        small = open_.where(F.col("n") <= BLOCK)
+        split, before = open_in(stars, found), open_
+        open_ = written(small.unionByName(split), "open")
+        dropped(stars, split, before)
+
     if not open_.isEmpty():
-        texts = written(texts_of(open_.select("set_id")), "texts")
-        more = written(_blocks(open_, texts, words, percent), "links")
-        dropped(texts)
+        more = _blocks(open_.select("bucket", "set_id", "root"), sets, texts_of, words, percent)
         if not more.isEmpty():
             found = components(links.unionByName(more))
         dropped(more)
-    dropped(links, open_)
+    dropped(links, open_, sets)
 
     return base.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "text_key", "n_shingles", "set_id", F.coalesce("root", "set_id").alias("root"))

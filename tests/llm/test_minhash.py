@@ -102,3 +102,40 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[x] == 100 for x in chain) and all(got[x] == 5 for x in range(5, 30)) and got[41] == got[40] == 40
     assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_classes_that_share_half_a_digest_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 10, 7), (2, 10, 8), (3, 10, 7), (4, 11, 9), (5, None, None)], "doc_id long, set_id long, mate long")
+    got = {r.doc_id: r.set_id for r in minhash.told_apart(rows).collect()}
+    assert got[1] == got[3] != got[2] and 10 not in (got[1], got[2]) and got[4] == 11 and got[5] is None
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["_id", "_key", "_linked", "_text_key", "_first", "row", "n", "several", "root", "set_id"]
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, text, *"abcdefghij"), (1, text, *"klmnopqrst"), (1, text, *"klmnopqrst"), (3, None, *"klmnopqrst"), (3, None, *"klmnopqrst")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = minhash.deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == sorted(rows[2:])
+
+
+def test_large_open_buckets_are_split(spark, monkeypatch):
+    """Texts that share much boilerplate and are no near copies, with near copies among them."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for k in range(70):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(20)]
+        rows.append((k, " ".join(common + own)))
+        if k % 5 == 0:
+            rows.append((500 + k, " ".join(common + own[:-1] + ["other"])))
+    check(spark, rows, 3, 85)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(2)
+    w = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:110_000])), (3, " ".join(w[:20_000])), (4, "w1 w2 w3 w4")]
+    check(spark, rows)
