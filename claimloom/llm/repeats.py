@@ -5,16 +5,23 @@ Suffixes are ordered only through the threshold of T bytes, and only where one c
 1. First digit. Of the T - K + 1 grams of K bytes in each window of T bytes the smallest hash is
    picked (all of them on ties). Equal windows pick the same grams, so every repeated window holds a
    picked gram, an anchor, that occurs twice or more; about 2 / (T - K + 2) of all positions are
-   anchors. Anchors that occur once go.
-2. Second digit: all bytes around the anchor that windows over it can reach. Occurrences equal in
-   this digit are repeated in all these windows; one of them stands for the others from here on.
-3. Last digits: where one anchor has several contexts, each window over it is a suffix of T bytes;
-   equal groups of these are exactly the repeated windows. Groups of up to GROUP contexts are sorted
-   in one task, shift by shift. Larger ones take one digit more: a window over an anchor holds half of
-   T - K bytes on its left or on its right, so contexts that share neither half with another go; the
-   others' windows are dealt to all tasks and counted there.
-
-Digits are 64-bit hashes of bytes, compared only between windows that lie alike over equal anchors.
+   anchors. Positions are dealt by this digit; anchors that occur once go.
+2. Occurrences that are equal in all bytes that windows over the anchor can reach (its context) are
+   repeated in all these windows; one of them stands for the others from here on.
+3. Most-significant-digit passes of eight bytes each order an anchor's contexts, once forward from the
+   anchor through T bytes and once backward through T - K; after each pass what stands alone in its
+   group goes no further. The passes leave the common prefix of neighbours in either order. A window
+   that starts s bytes before the anchor is a suffix of T bytes: contexts of one group through depth s
+   backward and through depth T - s forward hold the same one, and groups of two or more are exactly
+   the repeated windows. Bytes are compared, not hashes.
+4. An anchor with more than GROUP contexts is dealt by its next digit: a window over an anchor holds
+   half of T - K bytes on its left or on its right, so contexts are grouped by either half, and each
+   such group is ordered as in step 3. Groups that are larger still are compared as windows, dealt to
+   all tasks and counted there by hashes within the anchor.
+
+A text is read in segments of SEGMENT bytes, so a very long one needs no more memory than these and
+its own bytes (about eighty times a segment). Offsets are 32-bit: a text ends below 2 GiB, as any
+string in Spark does. A row is known by its id and text through a 128-bit digest.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +37,10 @@ from claimloom.llm.common import arrow_limits, dropped, fields, map_rows, writte
 from claimloom.llm.hashing import BASE, TABLE, Rolled, U, mixed
 
 K = 32
-#: Contexts of one anchor that one task sorts (about 0.5 kB each), and contexts that it takes at once.
-GROUP, CHUNK = 100_000, 4096
+#: Contexts of one group that one task orders (about 1 kB each), and contexts that it takes at once.
+GROUP, CHUNK = 16_384, 4096
+#: Bytes of a text in which anchors are sought at once.
+SEGMENT = 1 << 20
 
 
 def slid(x: np.ndarray, w: int, op, fill) -> np.ndarray:
@@ -46,6 +56,19 @@ def slid(x: np.ndarray, w: int, op, fill) -> np.ndarray:
 
 def anchors(raw: bytes, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Position, gram hash, context hash and context end of every anchor of one text."""
+    if len(raw) < t:
+        return (np.zeros(0, np.int64),) * 4
+    out = []
+    for low in range(0, len(raw), SEGMENT):
+        # whether a position is an anchor, and its context, depend on the t bytes on either side only
+        skip = min(low, 2 * t)
+        at, gram, context, stop = _anchors(raw[low - skip : low + SEGMENT + 2 * t], t)
+        own = (at >= skip) & (at < skip + SEGMENT)
+        out.append((at[own] + (low - skip), gram[own], context[own], stop[own] + (low - skip)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _anchors(raw: bytes, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     buf = np.frombuffer(raw, np.uint8)
     n, w = len(buf), t - K + 1
     if n < t:
@@ -62,6 +85,43 @@ def anchors(raw: bytes, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return at, grams[at].view(np.int64), context.view(np.int64), end
 
 
+def digits(rows: list[bytes], depth: int) -> np.ndarray:
+    """The rows as numbers of eight bytes, the most significant first, filled with zeros to `depth`."""
+    size = -(-depth // 8) * 8
+    wide = np.frombuffer(b"".join(r[:depth].ljust(size, b"\0") for r in rows), ">u8")
+    return wide.reshape(len(rows), size // 8).astype(np.uint64)
+
+
+def radix_order(groups: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ordered inside their groups by most-significant-digit passes.
+
+    `groups` is sorted. Returns the order and, for each place in it, the bytes that its row has in
+    common with the row before, -1 where a group begins. Rows alone in their group meet no further pass.
+    """
+    n, m = numbers.shape
+    order, common, group = np.arange(n), np.full(n, 8 * m), np.zeros(n, np.int64)
+    begins = np.ones(n, bool)
+    begins[1:] = groups[1:] != groups[:-1]
+    common[begins] = -1
+    group[:] = np.cumsum(begins)
+    left = np.arange(n)[np.bincount(group)[group] > 1]
+    for j in range(m):
+        if not len(left):
+            break
+        g, d = group[left], numbers[order[left], j]
+        by = np.lexsort((d, g))
+        order[left], d = order[left][by], d[by]
+        other = d[1:] != d[:-1]
+        parted = other & (g[1:] == g[:-1])
+        x = d[1:][parted] ^ d[:-1][parted]
+        common[left[1:][parted]] = 8 * j + sum(((x >> U(64 - 8 * k)) == 0).astype(np.int64) for k in range(1, 8))
+        new = np.cumsum(np.concatenate(([True], other | (g[1:] != g[:-1]))))
+        stay = np.bincount(new)[new] > 1
+        left = left[stay]
+        group[left] = new[stay]
+    return order, common
+
+
 def _aligned(contexts: list[bytes], left: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     """The contexts as columns, their anchors one below another, and their sizes."""
     span = t - K
@@ -89,14 +149,30 @@ def shifted_windows(contexts: list[bytes], left: np.ndarray, t: int):
 
 
 def twice_in(groups: np.ndarray, contexts: list[bytes], left: np.ndarray, t: int) -> np.ndarray:
-    """Which windows (contexts x shifts) are equal to another of the same group and shift."""
-    out = np.zeros((len(contexts), t - K + 1), bool)
-    salt = mixed(groups.view(np.uint64))
-    for s, (hashes, held) in enumerate(shifted_windows(contexts, left, t)):
-        at = np.flatnonzero(held)
-        with np.errstate(over="ignore"):
-            keys = (hashes + salt)[at]
-        order = np.argsort(keys)
+    """Which windows (contexts x shifts) are equal to another of the same group and shift; `groups` is sorted."""
+    n, span = len(contexts), t - K
+    out = np.zeros((n, span + 1), bool)
+    sides, most = [], []
+    for depth, rows in ((t, [c[a:] for c, a in zip(contexts, left, strict=True)]), (span, [c[:a][::-1] for c, a in zip(contexts, left, strict=True)])):
+        order, common = radix_order(groups, digits(rows, depth))
+        near = np.maximum(common, np.append(common[1:], -1))
+        best = np.empty(n, np.int64)
+        best[order] = near
+        sides.append((order, common))
+        most.append(best)
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    forward, backward = np.minimum(most[0], sizes - left), np.minimum(most[1], left)
+    for s in range(span + 1):
+        at = np.flatnonzero((s <= backward) & (t - s <= forward))
+        if len(at) < 2:
+            continue
+        keys = np.zeros(n, np.int64)
+        for (order, common), depth in zip(sides, (t - s, s), strict=True):
+            own = np.empty(n, np.int64)
+            own[order] = np.cumsum(common < depth)
+            keys = keys * (n + 1) + own
+        keys = keys[at]
+        order = np.argsort(keys, kind="stable")
         ranked = keys[order]
         same = ranked[1:] == ranked[:-1]
         out[at[order[1:][same]], s] = True
@@ -113,12 +189,12 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_table(docs: DataFrame, t: int) -> DataFrame:
-    schema = fields("key bigint, at int, gram bigint, context bigint, stop int")
+    schema = fields("key binary, at int, gram bigint, context bigint, stop int")
 
     def make():
         def step(cols):
             found = [anchors(x.as_buffer().to_pybytes(), t) for x in cols["text"]]
-            keys = np.repeat(cols["key"].to_numpy(), [len(f[0]) for f in found])
+            keys = cols["key"].take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
             at, gram, context, stop = (np.concatenate([f[i] for f in found]) for i in range(4))
             return {"key": keys, "at": at.astype(np.int32), "gram": gram, "context": context, "stop": stop.astype(np.int32)}
 
@@ -130,7 +206,7 @@ def _anchor_table(docs: DataFrame, t: int) -> DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame, t: int) -> DataFrame:
     """gram, big, key, at, left and the context's bytes for the anchors in `wanted`."""
     asked = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "big", "at")).alias("asked"))
-    schema = fields("gram bigint, big boolean, key bigint, at int, left int, bytes binary")
+    schema = fields("gram bigint, big boolean, key binary, at int, left int, bytes binary")
 
     def make():
         def step(cols):
@@ -153,25 +229,21 @@ def _contexts(docs: DataFrame, wanted: DataFrame, t: int) -> DataFrame:
 
 
 def _sorted_groups(contexts: DataFrame, t: int) -> DataFrame:
-    """Repeated runs (key, start, stop) of groups that one task can sort."""
+    """Repeated runs (key, start, stop) of groups that one task can order. contexts: gram (the group), key, at, left, bytes."""
     rows = contexts.select("gram", "key", "at", "left", "bytes").repartition("gram").sortWithinPartitions("gram")
     arrow_limits(contexts.sparkSession)
+    schema = fields("key binary, start int, stop int")
 
     def found(grams, keys, at, left, raw):
-        import pyarrow as pa
-
         hit = twice_in(grams, raw, left, t)
-        parts = []
         for low in range(0, len(hit), CHUNK):  # a row's windows become a few runs before the next rows unfold
             row, shift = np.nonzero(hit[low : low + CHUNK, ::-1])  # by start
             if len(row):
                 start = at[low + row] - (t - K - shift)
                 cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + t))))
                 last = np.concatenate((cut[1:] - 1, [len(row) - 1]))
-                parts.append((keys[low + row[cut]], start[cut].astype(np.int32), (start[last] + t).astype(np.int32)))
-        if not parts:
-            return None
-        return pa.RecordBatch.from_pydict({n: pa.array(np.concatenate(x)) for n, x in zip(("key", "start", "stop"), zip(*parts, strict=True), strict=True)})
+                columns = [keys[low + k] for k in row[cut]], start[cut].astype(np.int32), (start[last] + t).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *map(pa.array, columns[1:])], names=["key", "start", "stop"])
 
     def run(batches):
         kept: list = [[], [], [], [], []]
@@ -179,7 +251,7 @@ def _sorted_groups(contexts: DataFrame, t: int) -> DataFrame:
         def take(upto):
             part = [k[:upto] for k in kept]
             kept[:] = [k[upto:] for k in kept]
-            return found(np.array(part[0], np.int64), np.array(part[1], np.int64), np.array(part[2], np.int64), np.array(part[3], np.int64), part[4])
+            return found(np.array(part[0], np.int64), part[1], np.array(part[2], np.int64), np.array(part[3], np.int64), part[4])
 
         for b in batches:
             for k, c in zip(kept, b.columns, strict=True):
@@ -190,52 +262,55 @@ def _sorted_groups(contexts: DataFrame, t: int) -> DataFrame:
                     upto += 1
                 if upto == len(kept[0]):
                     break
-                if (got := take(upto)) is not None:
-                    yield got
-        if kept[0] and (got := take(len(kept[0]))) is not None:
-            yield got
+                yield from take(upto)
+        if kept[0]:
+            yield from take(len(kept[0]))
 
-    return rows.mapInArrow(run, fields("key bigint, start int, stop int"))
+    return rows.mapInArrow(run, schema)
 
 
 def _halves(contexts: DataFrame, t: int) -> DataFrame:
-    """The contexts that share the half on their anchor's left, or on its right, with another of their group."""
+    """Contexts by the half on their anchor's left and by the one on its right: group, part (a hash of the
+    group and the half) and n, the contexts of that part; those alone in theirs are left out."""
     half = (t - K) // 2
+    schema = fields("gram bigint, key binary, at int, left int, bytes binary, part bigint")
 
     def make():
         def step(cols):
-            out = {"gram": [], "key": [], "at": [], "side": [], "half": []}
+            out = {n: [] for n in schema.fieldNames()}
             for gram, key, at, left, raw in zip(*(cols[n].to_pylist() for n in ("gram", "key", "at", "left", "bytes")), strict=True):
                 for side, part in enumerate((raw[max(0, left - half) : left], raw[left + K : left + K + half])):
                     if len(part) == half:
-                        for n, x in zip(out, (gram, key, at, side, hashlib.blake2b(part, digest_size=16).digest()), strict=True):
+                        own = hashlib.blake2b(b"%d %d " % (gram, side) + part, digest_size=8).digest()
+                        for n, x in zip(out, (gram, key, at, left, raw, int.from_bytes(own, "big", signed=True)), strict=True):
                             out[n].append(x)
             return out
 
         return step
 
-    rows = map_rows(contexts.select("gram", "key", "at", "left", "bytes"), fields("gram bigint, key bigint, at int, side int, half binary"), make)
-    shared = rows.groupBy("gram", "side", "half").count().where("count > 1").drop("count")
-    return contexts.join(rows.join(shared, ["gram", "side", "half"]).select("gram", "key", "at").distinct(), ["gram", "key", "at"])
+    rows = written(map_rows(contexts.select("gram", "key", "at", "left", "bytes"), schema, make), "halves")
+    counts = rows.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(counts, "part")
 
 
 def _dealt_groups(contexts: DataFrame, t: int) -> DataFrame:
     """The same for larger groups: a row for each window, counted after partial sums."""
-    schema = fields("gram bigint, shift int, window bigint, key bigint, start int")
+    schema = fields("gram bigint, shift int, window bigint, key binary, start int")
 
     def make():
         def step(cols):
-            left, at, gram, key = (cols[n].to_numpy().astype(np.int64) for n in ("left", "at", "gram", "key"))
-            out = {n: [] for n in schema.fieldNames()}
+            left, at, gram = (cols[n].to_numpy().astype(np.int64) for n in ("left", "at", "gram"))
+            out = {n: [] for n in ("gram", "shift", "window", "row", "start")}
             for s, (hashes, held) in enumerate(shifted_windows(cols["bytes"].to_pylist(), left, t)):
-                parts = gram[held], np.full(held.sum(), s, np.int32), hashes[held].view(np.int64), key[held], (at[held] - s).astype(np.int32)
+                parts = gram[held], np.full(held.sum(), s, np.int32), hashes[held].view(np.int64), np.flatnonzero(held), (at[held] - s).astype(np.int32)
                 for n, x in zip(out, parts, strict=True):
                     out[n].append(x)
-            return {n: np.concatenate(x) for n, x in out.items()}
+            out = {n: np.concatenate(x) for n, x in out.items()}
+            return out | {"key": cols["key"].take(pa.array(out["row"]))}
 
         return step
 
-    rows = map_rows(_halves(contexts, t).select("gram", "key", "at", "left", "bytes"), schema, make)
+    rows = map_rows(contexts.select("gram", "key", "at", "left", "bytes"), schema, make)
     twice = rows.groupBy("gram", "shift", "window").count().where("count > 1").drop("count")
     return rows.join(twice, ["gram", "shift", "window"]).select("key", "start", (F.col("start") + t).alias("stop"))
 
@@ -245,7 +320,7 @@ def remove_repeats(df: DataFrame, threshold: int = 200, id_col: str = "doc_id",
 
     Every whole text counts as UTF-8 bytes (null: empty); matches don't cross texts, may lie in the
     same text and may overlap; all are judged on the input. Repeated rows are repeats of each other.
-    Texts under `threshold` bytes lose nothing. Other columns are not read.
+    Texts under `threshold` bytes lose nothing; an empty table gives no rows. Other columns are not read.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with
     `with_text`, removed (array of start, stop in bytes) and kept (binary; cuts may part a code point).
@@ -253,7 +328,7 @@ def remove_repeats(df: DataFrame, threshold: int = 200, id_col: str = "doc_id",
     t = threshold
     if t < K:
         raise ValueError(f"the threshold must be {K} bytes or more")
-    docs = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    docs = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), F.col("text")))))
     plain = docs.select("key", "text")
 
     first = written(_anchor_table(plain.where(F.octet_length("text") >= t), t), "anchors")
@@ -273,7 +348,13 @@ def remove_repeats(df: DataFrame, threshold: int = 200, id_col: str = "doc_id",
     part = written(_sorted_groups(contexts.where("not big"), t), "part")
     cuts = whole.unionByName(part)
     if not contexts.where("big").isEmpty():
-        cuts = cuts.unionByName(written(_dealt_groups(contexts.where("big"), t), "part"))
+        parts = written(_halves(contexts.where("big"), t), "parts")
+        by_half = parts.where(F.col("n") <= GROUP).select(F.col("part").alias("gram"), "key", "at", "left", "bytes")
+        cuts = cuts.unionByName(written(_sorted_groups(by_half, t), "part"))
+        if not parts.where(F.col("n") > GROUP).isEmpty():
+            rest = parts.where(F.col("n") > GROUP).select("gram", "key", "at", "left", "bytes").distinct()
+            cuts = cuts.unionByName(written(_dealt_groups(rest, t), "part"))
+        dropped(parts)
     dropped(contexts)
     cuts = written(cuts.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), "cuts")
     dropped(whole, part)

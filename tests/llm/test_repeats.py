@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from claimloom.llm import repeats
@@ -29,7 +30,7 @@ def texts(seed):
     return [(i, rng.choice(made)) for i in range(35)] + [(None, made[3]), (3, made[4]), (3, made[4])]
 
 
-@pytest.mark.parametrize("group", [100_000, 2])
+@pytest.mark.parametrize("group", [100_000, 9, 2])
 def test_against_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
     for seed in (1, 2):
@@ -55,3 +56,33 @@ def test_empty_table_and_small_threshold(spark):
     assert repeats.remove_repeats(df).count() == 0
     with pytest.raises(ValueError):
         repeats.remove_repeats(df, 8)
+
+
+def test_digit_passes_order_suffixes_as_sorting_does():
+    rng = random.Random(4)
+    rows = [bytes(rng.choices(b"ab\0", k=rng.choice([0, 3, 17, 30, 30, 30]))) for _ in range(300)]
+    groups = np.sort(np.array(rng.choices(range(5), k=300)))
+    for depth in (8, 20, 24):
+        cut = [r[:depth].ljust(-(-depth // 8) * 8, b"\0") for r in rows]
+        order, common = repeats.radix_order(groups, repeats.digits(rows, depth))
+        assert [(groups[i], cut[i]) for i in order] == sorted((groups[i], cut[i]) for i in range(300))
+        for place in range(1, 300):
+            i, j = order[place - 1], order[place]
+            same = next((k for k, (x, y) in enumerate(zip(cut[i], cut[j], strict=True)) if x != y), len(cut[i]))
+            assert common[place] == (-1 if groups[i] != groups[j] else same)
+
+
+def test_segments_find_the_same_anchors(monkeypatch):
+    rng = random.Random(6)
+    raw = bytes(rng.choices(b"abcd ", k=9000)) * 2
+    whole = repeats.anchors(raw, 200)
+    monkeypatch.setattr(repeats, "SEGMENT", 700)
+    assert all((a == b).all() for a, b in zip(whole, repeats.anchors(raw, 200), strict=True))
+
+
+def test_a_very_long_text_that_repeats_itself(spark):
+    rng = random.Random(10)
+    part = "".join(rng.choices("abcdefgh ", k=600_000))
+    rows = [(1, part + "#" + part[:300_000] + "#" + "".join(rng.choices("abcdefgh ", k=500_000))), (2, "short")]
+    out = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in out[1].removed] == [(0, 300_000), (600_001, 900_001)] and out[2].n_removed == 0
