@@ -13,7 +13,19 @@ ARROW_BYTES = "8m"
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    """Holds Arrow batches to ARROW_BYTES unless the session says otherwise.
+
+    Spark reads the setting when a plan runs, which may be after this call has returned, so it stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, ARROW_BYTES)
+
+
+def _typed(x, kind: pa.DataType) -> pa.Array:
+    if not isinstance(x, pa.Array):
+        return pa.array(x, type=kind)
+    return x if x.type == kind else x.cast(kind)
 
 
 def map_rows(df: DataFrame, schema: T.StructType, make) -> DataFrame:
@@ -34,7 +46,7 @@ def map_rows(df: DataFrame, schema: T.StructType, make) -> DataFrame:
             if b.num_rows:
                 out = step({n: b.column(i) for i, n in enumerate(b.schema.names)})
                 yield pa.RecordBatch.from_arrays(
-                    [x if isinstance(x := out[n], pa.Array) else pa.array(x, type=kinds.field(n).type) for n in names],
+                    [_typed(out[n], kinds.field(n).type) for n in names],
                     schema=kinds,
                 )
 
