@@ -1,11 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts: one on ordinary text, one on toxic text.
-Training keeps of toxic text the passages that its byte n-grams mark as more frequent there, for a
-dictionary filled with what both kinds share tells nothing; the toxic dictionary also holds all of the
-ordinary one, so the two differ in these passages only. A text is cut into windows, each window is
-compressed with either dictionary, and the bytes saved by the toxic one are its evidence. A logistic
-curve, fitted on labelled texts that trained no dictionary, turns a text's evidence into a score.
+Two zstandard dictionaries are trained on labelled texts: one on windows of ordinary text, one on
+those passages of toxic text whose byte n-grams are more frequent there (a dictionary trained on whole
+toxic texts is filled with what both kinds share and tells nothing). Before the toxic dictionary's
+content stands the ordinary one's, so the two differ in these passages only. A text is cut into
+windows, each window is compressed with either dictionary, and the bytes saved by the toxic one are
+its evidence. Both thresholds are calibrated on labelled texts that trained no dictionary: the saving
+from which a window is a hit, so that few ordinary windows are, and a logistic curve over a text's
+evidence, whose value is its score.
+
+Null and empty texts have one empty window, which saves nothing; a very long text only has more
+windows, of which all count.
 """
 
 from __future__ import annotations
@@ -31,8 +36,10 @@ SHARED, OWN = 24_576, 16_384
 CLEAR = 5.0
 #: A score from which a text counts as toxic.
 REJECT = 0.7
-#: Windows whose saving in bytes reaches this count as hits.
-HIT = 3
+#: The largest share of ordinary windows that may be hits.
+ORDINARY_HITS = 0.005
+#: Lengths of the segments and of the n-grams by which zstandard trains the toxic dictionary.
+SEGMENT, MER = 64, 6
 
 
 def windows(raw: bytes, size: int = WINDOW) -> list[bytes]:
@@ -97,25 +104,23 @@ def most_frequent(samples: list[bytes], size: int) -> bytes:
     return b"\n".join(sorted(often, key=lambda s: (often[s], s)))[-size:]
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
+def trained(samples: list[bytes], size: int, **how) -> bytes:
     """A zstandard dictionary's content; samples too few to train on are taken as they are."""
     import zstandard
 
     samples = [s for s in samples if s]
     try:
-        if sum(map(len, samples)) < 8 * size:
-            raise zstandard.ZstdError("few samples")
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
         return most_frequent(samples, size)
 
 
 class Model:
-    """Two dictionaries and a logistic curve. It is small and pickles whole."""
+    """Two dictionaries and two calibrated thresholds. It is small and pickles whole."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
-        shared = trained([w for t in ordinary for w in windows(t)], SHARED)
-        self.parts = shared, most_frequent(marked_passages(toxic, ordinary), OWN)
+        self.parts = trained([w for t in ordinary for w in windows(t)], SHARED), trained(marked_passages(toxic, ordinary), OWN, k=SEGMENT, d=MER)
+        self.hit = 1
         self.curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def sizers(self):
@@ -130,11 +135,21 @@ class Model:
             out.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=params).compress)
         return out
 
-    def evidence(self, raw: bytes, sizers) -> np.ndarray:
-        """Of a text: bytes saved in a window on average, in its best three, share and number of hit windows."""
+    @staticmethod
+    def saved(raw: bytes, sizers) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window of a text."""
         plain, toxic = sizers
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows(raw)] or [0], np.float64)
-        hits = float((saved >= HIT).sum())
+        return np.array([len(plain(w)) - len(toxic(w)) for w in windows(raw)] or [0], np.float64)
+
+    def calibrate(self, ordinary: list[bytes], sizers) -> None:
+        """The smallest saving that at most ORDINARY_HITS of the windows of ordinary texts reach."""
+        found = np.sort(np.concatenate([self.saved(t, sizers) for t in ordinary]))
+        self.hit = max(1, int(found[min(len(found) - 1, int(len(found) * (1 - ORDINARY_HITS)))]) + 1)
+
+    def evidence(self, raw: bytes, sizers) -> np.ndarray:
+        """Of a text: bytes saved in a window on average, in its best three, share and number of hit windows, bytes saved in all."""
+        saved = self.saved(raw, sizers)
+        hits = float((saved >= self.hit).sum())
         return np.array([saved.mean(), np.sort(saved)[-3:].mean(), hits / len(saved), np.log1p(hits), np.log1p(np.maximum(saved, 0).sum())])
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
@@ -167,6 +182,7 @@ def fitted(rows: list[tuple[int, bytes]], shares: tuple[int, int]) -> Model | fl
         return shares[1] / max(1, sum(shares))
     model = Model(by[1][::2], by[0][::2])
     sizers = model.sizers()
+    model.calibrate(by[0][1::2], sizers)
     rest = [(k, t) for k in (0, 1) for t in by[k][1::2]]
     y = np.array([k for k, _ in rest], np.float64)
     weight = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum())) * len(y) / sum(shares)
@@ -189,7 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked = part if picked is None else picked.unionByName(part)
     # `sample` rows of each class at most: small enough to send to every task
     rows = texts(docs, id_col, text_col).where(F.octet_length("text").between(1, SAMPLE_BYTES)).join(F.broadcast(picked), "doc_id")
-    found = sorted((r["label"], r["doc_id"], r["text"]) for r in rows.select("label", "doc_id", "text").distinct().collect())
+    # an id with many texts counts with the one of the smallest hash: at most 2 * sample rows are collected
+    rows = rows.groupBy("label", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    found = sorted((r["label"], r["doc_id"], r["text"]) for r in rows.select("label", "doc_id", "t.text").collect())
     return fitted([(y, t.encode()) for y, _, t in found], tuple(shares))
 
 
