@@ -191,7 +191,8 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, as asked, ids (little-endian unsigned
     32-bit integers) and decoded. A null or empty text has no tokens and
-    decodes to ''. Repeated rows give repeated results; other columns are not read. The vocabulary file (its size is fixed,
+    decodes to ''. Repeated rows give repeated results, an empty table none; a very long text, or
+    pre-token, takes n log n steps. Other columns are not read. The vocabulary file (its size is fixed,
     about 1.5 MB) is read by the driver and sent to the tasks.
     """
     spark: SparkSession = df.sparkSession

@@ -40,16 +40,22 @@ def _text(df: DataFrame, name: str) -> Column:
 def format_trees(messages: DataFrame, branches: int | None = 1, loss_role: str = "assistant") -> DataFrame:
     """Formats the `branches` best paths of every reply tree (None: all paths).
 
-    `messages`: conv_id, node, parent, role, text, score; node is unique in its conversation. A path's
+    `messages`: conv_id, node, parent, role, text, score. Of rows that repeat a node of a conversation the
+    first by (parent, role, text, score) counts; rows without a node are left out. A path's
     score is the sum of its messages' (null: 0); ties go to the longer path, then to the smaller leaf.
     A message whose parent is null or missing is a root; messages on a cycle have no root and are left
-    out. Null roles and texts are empty. Other columns are not read.
+    out. Null roles and texts are empty; a null conv_id is a conversation like any other. A very long
+    text is copied whole; a conversation's output is one row, as long as its messages together. An
+    empty table gives no rows. Other columns are not read.
 
     Returns conv_id, leaf, branch (1: best), score, n_turns, formatted and loss_spans, an array of
     (start, n) in code points of `formatted`: each `loss_role` text, without its marks.
     """
     m = messages.select("conv_id", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), _text(messages, "role"), _text(messages, "text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    m = written(m, "chat")
+    m = written(m.where("node is not null"), "chat")
+    if not m.groupBy("conv_id", "node").count().where("count > 1").isEmpty():
+        first = m.groupBy("conv_id", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
+        m = written(first.select("conv_id", "node", "m.*"), "chat")
     nodes = m.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
     links = m.select("conv_id", "node", "parent", "score")
     own = (F.col("conv_id").eqNullSafe(F.col("c"))) & (F.col("parent") == F.col("n"))

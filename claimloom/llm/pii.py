@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.llm.common import fields, map_rows, written
 
@@ -232,45 +233,46 @@ def span_classifier(counts: dict[tuple[str, int], int]) -> dict[tuple[str, int],
 _CANDIDATES = "array<struct<kind:string,start:int,end:int,base:boolean,code:int>>"
 
 
-def _with_candidates(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """`keep` and _candidates; the text goes through Python only to be read."""
-    kinds = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in keep)
+def _with_candidates(rows: DataFrame) -> DataFrame:
+    """`keep` as it is, and the candidates of `text`. rows: keep (any type), text."""
+    schema = T.StructType([rows.schema["keep"], *fields(f"candidates {_CANDIDATES}").fields])
 
     def make():
         def step(cols):
-            return {n: cols[n] for n in keep} | {"_candidates": [candidates(t or "") for t in cols[text_col].to_pylist()]}
+            return {"keep": cols["keep"], "candidates": [candidates(t or "") for t in cols["text"].to_pylist()]}
 
         return step
 
-    return map_rows(df.select(*dict.fromkeys([*keep, text_col])), fields(f"{kinds}, _candidates {_CANDIDATES}"), make)
+    return map_rows(rows.select("keep", "text"), schema, make)
 
 
-def _accepted(found: DataFrame) -> tuple[DataFrame, Column]:
-    counted = found.select(F.explode("_candidates").alias("c")).groupBy("c.kind", "c.code").count().collect()  # 81 rows a kind at most
+def _accepted(found: DataFrame) -> Column:
+    counted = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.code").count().collect()  # 81 rows a kind at most
     belief = span_classifier({(r["kind"], r["code"]): r["count"] for r in counted})
     good = [f"{k}:{c}" for (k, c), p in sorted(belief.items()) if k not in BASE and p >= ACCEPT]
-    base = F.filter("_candidates", lambda c: c["base"])
+    base = F.filter("candidates", lambda c: c["base"])
     free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.filter("_candidates", lambda c: F.concat_ws(":", c["kind"], c["code"]).isin(good) & free(c)) if good else F.array().cast(_CANDIDATES)
-    spans = F.transform(F.concat(base, added), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return found, spans
+    added = F.filter("candidates", lambda c: F.concat_ws(":", c["kind"], c["code"]).isin(good) & free(c)) if good else F.array().cast(_CANDIDATES)
+    return F.transform(F.concat(base, added), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans (array of kind, start, end in code points, end exclusive; by kind as in KINDS,
     then start) of every whole text. Null and empty texts have none; repeated rows give repeated
-    results; other columns are not read. Added spans don't overlap base ones."""
-    rows = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
-    found, spans = _accepted(written(_with_candidates(rows, "text", ["doc_id"]), "pii"))
-    return found.select("doc_id", spans.alias("spans"))
+    results, an empty table none; a very long text is read once for each kind. Other columns are not
+    read. Added spans don't overlap base ones."""
+    rows = df.select(df[id_col].alias("keep"), df[text_col].cast("string").alias("text"))
+    found = written(_with_candidates(rows), "pii")
+    return found.select(F.col("keep").alias("doc_id"), _accepted(found).alias("spans"))
 
 
 def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df`, all columns, with each personal span of the text replaced by [KIND]; overlapping spans
-    become one, named after the first. Null texts stay null."""
-    names = df.columns
-    found, spans = _accepted(written(_with_candidates(df, text_col, names), "pii"))
-    rows = found.select(*names, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans"))
+    become one, named after the first. Null texts stay null and empty ones empty; repeated rows give
+    repeated rows, an empty table none. Columns of any name pass unchanged."""
+    rows = df.select(F.struct("*").alias("keep"), df[text_col].cast("string").alias("text"))
+    found = written(_with_candidates(rows), "pii")
+    spans = F.array_sort(F.transform(_accepted(found), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def clean(text, spans):
         if not spans:
@@ -284,9 +286,10 @@ def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def make():
         def step(cols):
-            texts = cols[text_col].to_pylist()
-            return {n: cols[n] for n in names} | {text_col: [clean(t, s) for t, s in zip(texts, cols["_spans"].to_pylist(), strict=True)]}
+            return {"keep": cols["keep"], "text": [clean(t, s) for t, s in zip(cols["text"].to_pylist(), cols["spans"].to_pylist(), strict=True)]}
 
         return step
 
-    return map_rows(rows, df.schema, make)
+    schema = T.StructType([found.schema["keep"], T.StructField("text", T.StringType())])
+    out = map_rows(found.select("keep", F.col("keep")[text_col].cast("string").alias("text"), spans.alias("spans")), schema, make)
+    return out.select(*(F.col("text").cast(df.schema[n].dataType).alias(n) if n == text_col else F.col("keep")[n].alias(n) for n in df.columns))

@@ -115,7 +115,8 @@ def spelled(spans) -> str:
 def scan_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets in every whole text: doc_id, secrets (array of kind, start, end in code points, end exclusive).
 
-    Null and empty texts have none; repeated rows give repeated results; other columns are not read.
+    Null and empty texts have none; repeated rows give repeated results, an empty table none; a very
+    long text is read once, in time in proportion to it. Other columns are not read.
     """
     schema = fields(f"doc_id {df.schema[id_col].dataType.simpleString()}, secrets array<struct<kind:string,start:int,end:int>>")
 

@@ -236,7 +236,8 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, model: Model | float, text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """`docs`, all columns, without the rows whose text scores `reject` or more."""
+    """`docs`, all columns, without the rows whose text scores `reject` or more. Null texts are scored as
+    empty ones; repeated rows go or stay together; columns of any name pass unchanged."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     names = docs.columns
 
