@@ -10,7 +10,7 @@
    posterior probability that its similarity reaches the threshold, after the matches so far and a
    uniform prior, falls below MISS.
 4. Survivors are confirmed on their full sets; only these links count.
-5. A bucket of more than BLOCK whose members are not all in one component yet is split by every other
+5. A bucket of more than SPLIT whose members are not all in one component yet is split by every other
    band, and steps 2 to 4 are taken in each part. (A pair at 0.85 that shares one band shares no other
    with a chance of 2e-9, one at 0.8 with 1e-6.)
 6. What is still open is compared in blocks of bounded size, pair against pair across components: first
@@ -40,6 +40,8 @@ HASHES = BANDS * ROWS
 MISS = 1e-9
 #: Texts and bytes of text at most (beyond one text) in a block of an unresolved bucket.
 BLOCK, BLOCK_BYTES = 1024, 16_000_000
+#: Members from which an unresolved bucket is split by the other bands before it is cut into blocks.
+SPLIT = 65_536
 #: Pairs that one copy of a popular text serves.
 SPREAD = 64
 
@@ -384,7 +386,7 @@ def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     open_ = open_in(stars, found)
     dropped(stars)
 
-    large = open_.where(F.col("n") > BLOCK)
+    large = open_.where(F.col("n") > SPLIT)
     if not large.isEmpty():
         wide = large.select("bucket", F.col("band").alias("own"), "set_id", "root").join(sets.select("set_id", "signature"), "set_id")
         parts = banded(wide, "bucket", "own", "root").where("band <> own").select("set_id", "band", F.xxhash64("bucket", "band", value).alias("bucket"))
@@ -396,7 +398,7 @@ def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
         links, last = written(links.unionByName(more), "links"), links
         dropped(last, more)
         found = components(links)
-        small = open_.where(F.col("n") <= BLOCK)
+        small = open_.where(F.col("n") <= SPLIT)
         split, before = open_in(stars, found), open_
         open_ = written(small.unionByName(split), "open")
         dropped(stars, split, before)

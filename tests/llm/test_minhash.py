@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from claimloom.llm import minhash
 
@@ -61,8 +62,10 @@ def test_near_copies_nulls_ties_and_repeats(spark):
     check(spark, rows, 5, 80)
 
 
-def test_blocks_of_unresolved_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("split", [65_536, 9])
+def test_blocks_of_unresolved_buckets(spark, monkeypatch, split):
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SPLIT", split)
     check(spark, near_copies(random.Random(8), 80))
 
 
@@ -123,6 +126,7 @@ def test_columns_of_any_name_pass(spark):
 def test_large_open_buckets_are_split(spark, monkeypatch):
     """Texts that share much boilerplate and are no near copies, with near copies among them."""
     monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "SPLIT", 5)
     rng = random.Random(12)
     common = [f"c{i}" for i in range(60)]
     rows = []
