@@ -29,36 +29,28 @@ def with_sources(findings: DataFrame, papers: DataFrame) -> DataFrame:
     return findings.join(side, "paper", "left").withColumn("points", F.coalesce("points", F.lit(4000).cast("long")))
 
 
+#: Parts that a link's claims are dealt to, by author, before they are counted.
+PARTS = 16
+
+
 def link_measures(findings: DataFrame, papers: DataFrame) -> DataFrame:
     """One row for each (src, how, dst): counts, ids by direction, conditions, sums for the scores.
 
-    One shuffle by the key; counts are summed before it. Sets, not distinct counts: these would expand
-    every row three times, and the ids of a group are gathered anyway.
+    Claims are summed by (key, part) and then by key. All claims of an author, and so all of a source,
+    are in one part: distinct authors and sources add up over the parts, and no task holds more than a
+    part of them, however many claims one link has. Lists of ids are made only where they are used.
     """
     own, says = is_own(), F.col("says")
     on = lambda what: own & (says == what)
-    ids = lambda what: F.array_sort(F.collect_list(F.when(on(what), F.col("id"))))
-    where = lambda what: F.array_sort(F.collect_set(F.when(on(what) & (F.col("setting") != ""), F.col("setting"))))
-    return (
-        with_sources(findings, papers)
-        .groupBy(*KEY)
-        .agg(
-            F.count("*").alias("n_findings"),
-            F.count_if(on("yes")).alias("n_yes"),
-            F.count_if(on("no")).alias("n_no"),
-            F.count_if(on("no_effect")).alias("n_no_effect"),
-            F.count_if(own).alias("n_own"),
-            F.count_if(own & F.coalesce(F.col("hedged"), F.lit(False))).alias("n_own_hedged"),
-            F.sum("points").alias("points"),
-            F.size(F.collect_set(F.when(own, F.col("author")))).cast("long").alias("n_authors"),
-            F.size(F.collect_set(F.when(own & F.col("known"), F.col("paper")))).cast("long").alias("n_papers"),
-            ids("yes").alias("yes"),
-            ids("no").alias("no"),
-            ids("no_effect").alias("no_effect"),
-            where("yes").alias("yes_where"),
-            where("no").alias("no_where"),
-        )
-    )
+    ids = lambda what: F.collect_list(F.when(on(what), F.col("id")))
+    where = lambda what: F.collect_set(F.when(on(what) & (F.col("setting") != ""), F.col("setting")))
+    sums = {"n_findings": F.count("*"), "n_yes": F.count_if(on("yes")), "n_no": F.count_if(on("no")), "n_no_effect": F.count_if(on("no_effect")), "n_own": F.count_if(own), "n_own_hedged": F.count_if(own & F.coalesce(F.col("hedged"), F.lit(False))), "points": F.sum("points"), "n_authors": F.size(F.collect_set(F.when(own, F.col("author")))).cast("long"), "n_papers": F.size(F.collect_set(F.when(own & F.col("known"), F.col("paper")))).cast("long")}
+    lists = {"yes": ids("yes"), "no": ids("no"), "no_effect": ids("no_effect"), "yes_where": where("yes"), "no_where": where("no")}
+    rows = with_sources(findings, papers).withColumn("_part", F.pmod(F.xxhash64("author"), F.lit(PARTS)))
+    parts = rows.groupBy(*KEY, "_part").agg(*(c.alias(n) for n, c in (sums | lists).items()))
+    flat = lambda n: F.array_sort(F.flatten(F.collect_list(n)))
+    united = {n: F.array_distinct(flat(n)) if n.endswith("where") else flat(n) for n in lists}
+    return parts.groupBy(*KEY).agg(*(F.sum(n).alias(n) for n in sums), *(c.alias(n) for n, c in united.items()))
 
 
 def disagreement(yes_where: Column, no_where: Column) -> Column:

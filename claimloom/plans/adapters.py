@@ -32,6 +32,10 @@ from {lineitem} join {part} on l_partkey = p_partkey""",
 select 's' || cast(s_suppkey as string) as id, s_name as name, 'small_molecule' as kind, cast(null as string) as uniprot_accession from {supplier}
 union all select distinct p_brand, p_brand, 'protein', case when p_brand > 'Brand#3' then ' ' || lower(replace(p_brand, '#', '')) end from {part}
 union all select 'n' || cast(n_nationkey as string), n_name, 'disease', null from {nation}""",
+    "meta": """
+select 'g_1' as graph_id, 2 as round, 'partial' as status, 'gone <b>away</b>' as error, cast((select count(*) from {orders}) as int) as found, 7 as read,
+  cast(null as int) as used, true as truncated, 'budget' as stop_reason, 'standard' as depth, cast(null as string) as years, cast(null as int) as max_papers, 4 as max_queries,
+  split('first query;second query', ';') as queries, split('years: all (not supplied);depth: standard', ';') as defaults_applied, cast(3 as bigint) as no_quote_discarded""",
 }
 
 

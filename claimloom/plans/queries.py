@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom import contract
 from claimloom.functions import scoring, text
 from claimloom.operators import audit, gaps, identity, links, quality, rounds, search, verify
 from claimloom.plans.adapters import evidence, sql, table
 from claimloom.sources import state
+from claimloom.sources.shared import written
 from claimloom.streaming import events
-from claimloom.vocabulary import STUDY_GRADE, STUDY_QUALITY
+from claimloom.vocabulary import GREEK, STUDY_GRADE, STUDY_QUALITY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,7 +48,7 @@ measures as (select src, how, dst, count(*) as n, count(*) filter (is_own_result
     sum(points) as points, count(distinct author) filter (is_own_result) as na, count(distinct known) filter (is_own_result) as np,
     string_agg(id, ',' order by id) filter (is_own_result and says = 'yes') as yes_ids, string_agg(id, ',' order by id) filter (is_own_result and says = 'no') as no_ids,
     string_agg(id, ',' order by id) filter (is_own_result and says = 'no_effect') as ne_ids,
-    list_sort(list(distinct setting) filter (is_own_result and says = 'yes')) as yw, list_sort(list(distinct setting) filter (is_own_result and says = 'no')) as nw
+    coalesce(list(distinct paper) filter (is_own_result), []) as papers, list_sort(list(distinct setting) filter (is_own_result and says = 'yes')) as yw, list_sort(list(distinct setting) filter (is_own_result and says = 'no')) as nw
   from rated group by all),
 terms as (select *, cast(case when y + no_ = 0 then 0 when y + no_ = 1 then 5000 else (20000 * y + y + no_) // (2 * (y + no_)) end as bigint) as agr,
     cast((2 * points + n) // (2 * n) as bigint) as qual, cast(case when np <= 1 then 0 else (20000 * (na - 1) + np - 1) // (2 * (np - 1)) end as bigint) as ind from measures),
@@ -124,31 +127,33 @@ def own_result_filter(spark, sf_dir):
     return links.own_results(evidence(spark, sf_dir, "findings")).groupBy("says").agg(F.count("*").alias("n"), F.count_if("hedged").alias("n_hedged"))
 
 
-@query(sql("findings") + " select id, src, dst, confidence from findings where hedged and confidence > 0.95")
+@query(sql("findings") + " select id, src, dst, confidence from findings where hedged and confidence > 0.65")
 def hedged_contradictions(spark, sf_dir):
     return evidence(spark, sf_dir, "findings").where(F.col("hedged") & (F.col("confidence") > 0.65)).select("id", "src", "dst", "confidence")
 
 
-@query(sql("findings") + " select count(confidence) as n, min(confidence) as min, max(confidence) as max, count(*) filter (confidence < 0.95) as below, count(*) filter (hedged and confidence > 0.95) as hedged_but_confident from findings")
+@query(sql("findings") + " select count(confidence) as n, min(confidence) as min, max(confidence) as max, count(*) filter (confidence < 0.65) as below, count(*) filter (hedged and confidence > 0.65) as hedged_but_confident from findings")
 def confidence_profile(spark, sf_dir):
     return audit.confidence_profile(evidence(spark, sf_dir, "findings"))
 
 
 # ---- gaps -------------------------------------------------------------------------------------
 
-_GAP_LINKS = """
-with sp as (select 's' || cast(l_suppkey as string) as src, 'supplies' as how, 'k' || cast(l_partkey as string) as dst, (count(*) % 7 + 1) / 10.0 as overall,
-    case count(*) % 3 when 0 then 'mixed' when 1 then 'primary' else 'hedged_only' end as basis, list_sort(list(distinct 'p' || cast(l_orderkey as string))) as papers
-  from lineitem join part on l_partkey = p_partkey where p_size = 1 group by l_suppkey, l_partkey),
-links as (select * from sp union all select 's' || cast(s_suppkey as string), 'sits_in', 'n' || cast(s_nationkey as string), 0.5, 'primary', ['q' || cast(s_suppkey as string)] from supplier
-  union all select distinct 'k' || cast(l_partkey as string), 'sold_in', 'n' || cast(c_nationkey as string), 0.4, 'primary', cast([] as varchar[]) from lineitem join part on l_partkey = p_partkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where p_size = 1),
-best as (select * from (select *, least(src, dst) as a, greatest(src, dst) as b, row_number() over (partition by least(src, dst), greatest(src, dst) order by overall desc, src desc, how desc, dst desc) as r from links where src <> dst) where r = 1),
+_GAP_TAIL = """
+best as (select * from (select *, least(src, dst) as a, greatest(src, dst) as b, row_number() over (partition by least(src, dst), greatest(src, dst) order by overall desc, src desc, how desc, dst desc) as r from glinks where src <> dst) where r = 1),
 edges as (select a as hub, b as e, overall, basis, papers from best union all select b, a, overall, basis, papers from best),
 near as (select * from (select *, row_number() over (partition by hub order by e) as r from edges) where r <= 24),
 weight as (select * from (values ('primary', 1.0::double), ('mixed', 0.85::double), ('hedged_only', 0.6::double), ('background_only', 0.35::double)) v(b, w)),
 wedges as (select x.hub, x.e as a, y.e as c, least(x.overall, y.overall)::double * wx.w * wy.w * (case when len(x.papers) > 0 and len(y.papers) > 0 and not list_has_any(x.papers, y.papers) then 1.0::double else 0.65::double end) as s
   from near x join near y on x.hub = y.hub and x.e < y.e join weight wx on wx.b = x.basis join weight wy on wy.b = y.basis where not exists (select 1 from edges z where z.hub = x.e and z.e = y.e)),
 routes as (select *, s * (1 / sqrt(count(*) over (partition by hub))) as score, count(*) over (partition by a, c) as routes, count(*) over (partition by hub) as fan from wedges)"""
+_GAP_LINKS = """
+with sp as (select 's' || cast(l_suppkey as string) as src, 'supplies' as how, 'k' || cast(l_partkey as string) as dst, (count(*) % 7 + 1) / 10.0 as overall,
+    case count(*) % 3 when 0 then 'mixed' when 1 then 'primary' else 'hedged_only' end as basis, list_sort(list(distinct 'p' || cast(l_orderkey as string))) as papers
+  from lineitem join part on l_partkey = p_partkey group by l_suppkey, l_partkey),
+glinks as (select * from sp union all select 's' || cast(s_suppkey as string), 'sits_in', 'n' || cast(s_nationkey as string), 0.5, 'primary', ['q' || cast(s_suppkey as string)] from supplier
+  union all select distinct 'k' || cast(l_partkey as string), 'sold_in', 'n' || cast(c_nationkey as string), 0.4, 'primary', cast([] as varchar[]) from lineitem join part on l_partkey = p_partkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey),""" + _GAP_TAIL
+_GAP_TOP = """, top as (select *, row_number() over (partition by a, c order by round(score, 10) desc, hub) as r from routes), final as (select a, c, hub as via, routes, round(score * (1 + 0.12::double * log2(routes)), 10) as score from top where r = 1)"""
 
 
 def _gap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +170,7 @@ def _gap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return how(sp, "supplies").unionByName(how(sn, "sits_in")).unionByName(how(kn, "sold_in"))
 
 
-@query(_GAP_LINKS + """, top as (select *, row_number() over (partition by a, c order by round(score, 10) desc, hub) as r from routes), final as (select a, c, hub as via, routes, round(score * (1 + 0.12::double * log2(routes)), 10) as score from top where r = 1)
+@query(_GAP_LINKS + _GAP_TOP + """
 select a, c, via, routes, score, 'both connect to ' || via || '; no direct link reported' || case when routes > 1 then ' (implied via ' || routes || ' intermediates)' else '' end as note, round(least(score, 0.6), 4) as confidence from final order by score desc, a, c limit 50""")
 def gap_top50(spark, sf_dir):
     return gaps.ranked_gaps(_gap_links(spark, sf_dir)).drop("implied_by")
@@ -196,8 +201,8 @@ def degree_cap(spark, sf_dir):
 _DOI = r"lower(regexp_replace(trim(regexp_replace(trim(coalesce(doi, '')), '^(https?://)?(dx\.)?doi\.org/', '', 'i')), '^/+|/+$', '', 'g'))"
 
 
-def _name_sql(c: str) -> str:
-    words = rf"trim(regexp_replace(regexp_replace(lower({c}), '[^\pL\pN_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+def _name_sql(c: str, composed: str | None = None) -> str:
+    words = rf"trim(regexp_replace(regexp_replace(lower({composed or c}), '[^\pL\pN_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
     symbol = rf"(regexp_matches({c}, '\pL') and (not regexp_matches({c}, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') or regexp_matches({c}, '\p{{Nd}}')))"
     return f"case when length({words}) > 3 and {words} like '%s' and {words} not like '%ss' and not {symbol} then left({words}, length({words}) - 1) else {words} end"
 
@@ -225,24 +230,33 @@ def doi_normalize(spark, sf_dir):
     return evidence(spark, sf_dir, "papers").select(F.coalesce("doi", F.lit("?")).alias("doi"), text.normalize_doi(F.col("doi")).alias("normal")).distinct()
 
 
-_NAMES = "select p_name as name from part union select p_brand from part union select p_type from part union select s_name from supplier union select c_mktsegment from customer union select n_name from nation"
+#: Names in compatibility forms, and what they are composed to.
+_PLANTED = {"ﬁnding ＡＢ": "finding AB", "µ-opioid receptors": "μ-opioid receptors", "TNFα": "TNFα", "ＩＬ－６": "IL-6", "β²-cells": "β2-cells", "Kinase Ⅳ": "Kinase IV", "ﬂuxes": "fluxes", "Cafe\u0301 proteins": "Café proteins"}
+_NAMES = "select p_name as name from part union select p_brand from part union select p_type from part union select s_name from supplier union select c_mktsegment from customer union select n_name from nation union select unnest([" + ", ".join(f"'{n}'" for n in _PLANTED) + "])"
+
+
+def _composed_sql(c: str) -> str:
+    """NFKC of the planted names, the others pass; Greek letters spelled."""
+    out = f"case {c} " + " ".join(f"when '{a}' then '{b}'" for a, b in _PLANTED.items()) + f" else {c} end"
+    for letter, name in GREEK.items():
+        out = f"replace({out}, '{letter}', '{name}')"
+    return out
 
 
 def _names(spark, sf_dir):
     parts = [("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("supplier", "s_name"), ("customer", "c_mktsegment"), ("nation", "n_name")]
-    out = None
+    out = spark.createDataFrame([(n,) for n in _PLANTED], "name string")
     for t, c in parts:
-        rows = table(spark, sf_dir, t).select(F.col(c).alias("name"))
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(table(spark, sf_dir, t).select(F.col(c).alias("name")))
     return out.distinct()
 
 
-@query(f"select name, {_name_sql('name')} as normal from ({_NAMES})")
+@query(f"select name, {_name_sql('name', 'composed')} as normal from (select name, {_composed_sql('name')} as composed from ({_NAMES}))")
 def name_normalize(spark, sf_dir):
     return _names(spark, sf_dir).select("name", text.normalize_name(F.col("name")).alias("normal"))
 
 
-@query(rf"select name, regexp_replace(lower(name), '[^\pL\pN]', '', 'g') as compact from ({_NAMES})")
+@query(rf"select name, regexp_replace(lower({_composed_sql('name')}), '[^\pL\pN]', '', 'g') as compact from ({_NAMES})")
 def name_compact(spark, sf_dir):
     return _names(spark, sf_dir).select("name", text.compact_name(F.col("name")).alias("compact"))
 
@@ -257,7 +271,7 @@ def _aliases(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     new = p.select(F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.when(F.col("p_size") % 10 == 0, F.concat(F.lit("A"), F.col("p_size").cast("string"))).alias("uniprot_accession"), F.lit(None).cast("array<string>").alias("ambiguity"))
     stored = p.select("p_brand").distinct().select(F.lower("p_brand").alias("id"), F.regexp_replace("p_brand", "#", " ").alias("name"), F.array().cast("array<string>").alias("aliases"), F.when(F.col("p_brand") == "Brand#11", "a10").when(F.col("p_brand") < "Brand#3", "zz").alias("uniprot_accession"), F.lit(None).cast("array<string>").alias("ambiguity"))
-    return new, stored.where("uniprot_accession is null or uniprot_accession = 'a10' or id > ''")
+    return new, stored
 
 
 @query(r"""
@@ -279,12 +293,27 @@ def accession_coalesce(spark, sf_dir):
     return identity.coalesced_by_accession(things)
 
 
-@query()
+_FOLD_ENTITIES = f"""
+with recursive rows_ as (select p_brand as g, row_number() over (partition by p_brand order by p_partkey) as n, 'x' || p_partkey as id, case when p_size < 8 then 'A' || p_size else '' end as acc,
+    list_filter([{_name_sql("p_type")}, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g'), {_name_sql("p_name")}, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')], lambda k: k <> '') as keys from part),
+fold as (
+  select g, 0::bigint as n, '' as id, '' as entity, map([]::varchar[], []::varchar[]) as by_key, map([]::varchar[], []::varchar[]) as by_acc, map([]::varchar[], []::varchar[]) as acc_of from (select distinct g from rows_)
+  union all
+  select g, n, id, entity, map_concat(map_from_entries(list_transform(list_distinct(keys), lambda k: {{'k': k, 'v': entity}})), by_key) as by_key,
+    case when acc <> '' then map_concat(map([acc], [entity]), by_acc) else by_acc end as by_acc,
+    case when coalesce(acc_of[entity], '') = '' then map_concat(acc_of, map([entity], [acc])) else acc_of end as acc_of
+  from (select g, n, id, acc, keys, by_key, by_acc, acc_of, coalesce(case when acc <> '' then by_acc[acc] end,
+      list_filter(list_transform(list_filter(keys, lambda k: by_key[k] is not null), lambda k: by_key[k]), lambda e: not (acc <> '' and coalesce(acc_of[e], '') <> '' and acc_of[e] <> acc))[1], id) as entity
+    from (select r.g, r.n, r.id, r.acc, r.keys, f.by_key, f.by_acc, f.acc_of from fold f join rows_ r on r.g = f.g and r.n = f.n + 1)))
+select g as graph_id, id, entity from fold where n > 0"""
+
+
+@query(_FOLD_ENTITIES)
 def entity_resolution(spark, sf_dir):
-    """The sequential fold over the parts of each brand; order matters, so SQL has no short form."""
+    """The parts of each brand as entities that arrive one after another; the SQL folds them row by row."""
     p = table(spark, sf_dir, "part")
-    rows = p.select(F.col("p_brand").alias("graph_id"), F.col("p_partkey").alias("ord"), F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("name"), F.array("p_name").alias("aliases"), F.when(F.col("p_size") < 5, F.concat(F.lit("a"), F.col("p_size").cast("string"))).alias("uniprot_accession"))
-    return identity.resolved(rows)
+    rows = p.select(F.col("p_brand").alias("graph_id"), F.col("p_partkey").alias("ord"), F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("name"), F.array("p_name").alias("aliases"), F.when(F.col("p_size") < 8, F.concat(F.lit("a"), F.col("p_size").cast("string"))).alias("uniprot_accession"))
+    return identity.resolve(rows, rows.limit(0), "graph_id").select("graph_id", "id", F.col("entity_id").alias("entity"))
 
 
 # ---- quotes -----------------------------------------------------------------------------------
@@ -298,26 +327,36 @@ def _form_sql(c: str) -> str:
     return rf"regexp_replace(regexp_replace({_fold_sql(c)}, '([^0-9A-Za-z])\s+', '\1', 'g'), '\s+([^0-9A-Za-z])', '\1', 'g')"
 
 
-@query(f"select item_id, {_fold_sql('text')} as folded, {_form_sql('text')} as form from benchmark")
+#: Quotes in compatibility forms beside what they are composed to.
+_QUOTED = {-1: ("The ﬁnding  ＡＢ “holds” — in 5 µm", "The finding AB “holds” — in 5 μm"), -2: ("x\u00a0² ( Figure 5F )", "x 2 ( Figure 5F )"), -3: ("ＮＡＣ １２４ ３１", "NAC 124 31")}
+_QUOTED_SQL = " union all ".join(f"select {i} as item_id, '{a}' as text, '{b}' as composed" for i, (a, b) in _QUOTED.items())
+
+
+@query(f"select item_id, {_fold_sql('composed')} as folded, {_form_sql('composed')} as form from (select item_id, text as composed from benchmark union all select item_id, composed from ({_QUOTED_SQL}))")
 def quote_fold(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", text.folded(F.col("text")).alias("folded"), text.quote_form(F.col("text")).alias("form"))
+    planted = spark.createDataFrame([(i, a) for i, (a, _) in _QUOTED.items()], "item_id long, text string")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), "text").unionByName(planted)
+    return b.select("item_id", text.folded(F.col("text")).alias("folded"), text.quote_form(F.col("text")).alias("form"))
 
 
-@query(f"with d as (select doc_id, {_form_sql('text')} as t from documents), q as (select item_id, {_form_sql('text')} as q from benchmark) select item_id as quote_id, doc_id as text_id from q join d on contains(t, q) where q <> ''")
+@query(f"with d as (select doc_id, {_form_sql('text')} as t from documents union all select item_id, {_form_sql("'so ' || composed || '.'")} from ({_QUOTED_SQL})), q as (select item_id, {_form_sql('text')} as q from benchmark union all select item_id, {_form_sql('composed')} from ({_QUOTED_SQL})) select item_id as quote_id, doc_id as text_id from q join d on contains(t, q) where q <> ''")
 def quote_verify(spark, sf_dir):
-    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    return verify.quotes_in_texts(quotes, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+    """Where each item stands, and planted quotes in compatibility forms that stand composed in a text of their own."""
+    planted = spark.createDataFrame([(i, a, f"so {b}.") for i, (a, b) in _QUOTED.items()], "id long, quote string, text string")
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("quote_id"), F.col("text").alias("quote")).unionByName(planted.select(F.col("id").alias("quote_id"), "quote"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("text_id"), "text").unionByName(planted.select(F.col("id").alias("text_id"), "text"))
+    return verify.quotes_in_texts(quotes, texts)
 
 
 def _claims(spark, sf_dir):
-    """For each document the claims of its language: quotes of the benchmark items that share its number's end."""
+    """For each document the claims of its language: a quote of the benchmark item that its number falls on, all items in turn."""
     d = table(spark, sf_dir, "documents")
     b = table(spark, sf_dir, "benchmark")
-    claims = d.select(F.col("doc_id").alias("paper"), (F.col("doc_id") % 40).alias("item_id"), "lang").join(b.select("item_id", F.col("text").alias("quote")), "item_id")
+    claims = d.join(b.agg(F.count("*").alias("_items"))).select(F.col("doc_id").alias("paper"), (F.col("doc_id") % F.col("_items")).alias("item_id"), "lang").join(b.select("item_id", F.col("text").alias("quote")), "item_id")
     return claims.select("paper", "quote", (F.col("lang") == "en").alias("is_new"), F.lit(True).alias("quote_verified"), "lang"), d.select(F.col("doc_id").alias("id"), F.when(F.col("lang") != "es", F.col("text")).alias("source_text"))
 
 
-@query(f"""with c as (select doc_id, lang, contains({_form_sql('d.text')}, {_form_sql('b.text')}) as hit from documents d join benchmark b on b.item_id = d.doc_id % 40)
+@query(f"""with c as (select doc_id, lang, contains({_form_sql('d.text')}, {_form_sql('b.text')}) as hit from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark))
 select lang, count(*) as n, count(*) filter (lang = 'en' and not hit) as discarded, count(*) filter (lang not in ('en', 'es') and not hit) as marked_false, count(*) filter (lang = 'es' or hit) as verified from c group by lang""")
 def quote_discard_counts(spark, sf_dir):
     out = verify.verified(*_claims(spark, sf_dir))
@@ -374,7 +413,7 @@ def links_changed(spark, sf_dir):
     return now.where("changed_in_round = 7").join(prior.select("id"), "id", "left_semi").select("src", "how", "dst")
 
 
-@query(_NOW_PRIOR + " select case when count(was) = 0 and count(*) > 0 then 'new_evidence' when count(*) filter (state = 'disagreed' and was <> 'disagreed') > 0 then 'contradicted' when count(*) filter (was = 'single_source' and state = 'agreed') > 0 then 'promoted' when count(*) filter (was is null or n_now > n_was) > 0 then 'new_evidence' else 'nothing_new' end as outcome from pair")
+@query(_NOW_PRIOR + " select case when count(was) = 0 and count(*) > 0 then 'new_evidence' when count(*) filter (state = 'disagreed' and was <> 'disagreed') > 0 then 'contradicted' when count(*) filter (was = 'single_source' and state = 'agreed') > 0 then 'promoted' when count(*) filter (was is null or state <> was or points4 <> was4) > 0 then 'new_evidence' else 'nothing_new' end as outcome from pair")
 def round_outcome(spark, sf_dir):
     now, prior, _ = _two_rounds(spark, sf_dir)
     return rounds.round_outcome(now, prior)
@@ -441,13 +480,14 @@ _GRADE = "case study_type " + " ".join(f"when '{k}' then {['UNSUPPORTED', 'LOW',
 _GRADED = f"case when coalesce(retracted, false) then 0 else least({_GRADE}, case when coalesce(is_preprint, false) or not coalesce(quote_verified, false) then 1 else 3 end) end"
 
 
-@query(sql("papers", "findings", "things") + f""" select f.id, f.paper, coalesce(a.name, src) || case says when 'no' then ' does not support: ' when 'no_effect' then ' shows no effect: ' else ' ' end || how || ' ' || coalesce(b.name, dst) as claim,
+@query(sql("papers", "findings", "things") + f""" select f.id, 'evidence.' || f.id as evidence_id, f.paper, coalesce(a.name, src) || case says when 'no' then ' does not ' || how when 'no_effect' then ' has no effect on' else ' ' || how end || ' ' || coalesce(b.name, dst) || ' (' || setting || ')' as claim,
  case when is_preprint then 'preprint' when not is_preprint then 'publication' else 'publication_status_unrecorded' end as source_type,
- coalesce(case when {_DOI} <> '' then 'https://doi.org/' || {_DOI} when trim(coalesce(pmid, '')) <> '' then 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' end, '?') as source_ref, ['UNSUPPORTED', 'LOW', 'MODERATE', 'HIGH'][{_GRADED} + 1] as grade
+ coalesce(case when {_DOI} <> '' then 'doi:' || {_DOI} when trim(coalesce(pmid, '')) <> '' then 'pmid:' || pmid end, '?') as source_id,
+ coalesce(case when {_DOI} <> '' then 'https://doi.org/' || {_DOI} when trim(coalesce(pmid, '')) <> '' then 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' end, '?') as source_url, quote, ['UNSUPPORTED', 'LOW', 'MODERATE', 'HIGH'][{_GRADED} + 1] as grade, false as synthetic
 from findings f left join papers p on p.id = f.paper left join things a on a.id = src left join things b on b.id = dst""")
 def evidence_rows(spark, sf_dir):
     out = audit.evidence_rows(*(evidence(spark, sf_dir, t) for t in ("findings", "papers", "things")))
-    return out.withColumn("source_ref", F.coalesce("source_ref", F.lit("?")))
+    return out.withColumns({c: F.coalesce(c, F.lit("?")) for c in ("source_id", "source_url")}).drop("locator")
 
 
 @query(sql("papers", "findings") + f" select ['UNSUPPORTED', 'LOW', 'MODERATE', 'HIGH'][{_GRADED} + 1] as grade, count(*) as n from findings f left join papers p on p.id = f.paper group by 1")
@@ -461,15 +501,53 @@ def source_type(spark, sf_dir):
     return evidence(spark, sf_dir, "papers").groupBy(text.source_type(F.col("is_preprint")).alias("source_type")).agg(F.count("*").alias("n"))
 
 
-@query(_SPARSE.replace("findings as (", "things as (select * from supplier), findings as (", 1) + """, c as (select count(*) filter (quote_verified) as findings_verified, count(*) filter (quote_verified is not true) as findings_unverified, count(*) filter (quote_verified is false) as quote_mismatch from findings),
-l as (select count(*) as relationships, count(*) filter (state = 'disagreed') as disputed, count(*) filter (state = 'agreed') as agreed, count(*) filter (state = 'single_source') as single_source, count(*) filter (state = 'no_effect') as no_effect, cast(sum(points4) as bigint) as s from links),
-o as (select count(*) as entities from things), q as (select count(*) as papers_used from papers)
-select metric, cast(value as double) as value, case when metric = 'mean_link_confidence' then 'score 0-1' else 'count' end as unit from (
- select 'findings_verified' as metric, findings_verified as value from c union all select 'findings_unverified', findings_unverified from c union all select 'quote_mismatch', quote_mismatch from c
- union all select 'relationships', relationships from l union all select 'disputed', disputed from l union all select 'agreed', agreed from l union all select 'single_source', single_source from l union all select 'no_effect', no_effect from l
- union all select 'gaps_open', 25 union all select 'entities', entities from o union all select 'papers_used', papers_used from q union all select 'mean_link_confidence', s / (relationships * 10000.0::double) from l)""")
+#: A whole graph: claims, their links, the gaps that these leave, and what the round says of itself.
+_GRAPH = sql("papers", "findings", "things", "meta") + "," + _MEASURES + ", glinks as (select src, how, dst, points4 / 10000 as overall, basis, papers from links)," + _GAP_TAIL + _GAP_TOP + """,
+gaps_ as (select a, c from final order by score desc, a, c limit 50), lf as (select src || '|' || how || '|' || dst as id, * from links),
+fig as (select * from meta, (select count(*) as n_findings, count(*) filter (quote_verified) as n_verified, count(*) filter (quote_verified is false) as n_mismatched, count(*) filter (quote_verified is null) as n_unchecked from findings),
+  (select count(*) as n_links, count(*) filter (state = 'disagreed') as n_disputed, count(*) filter (state = 'agreed') as n_agreed, count(*) filter (state = 'single_source') as n_single, count(*) filter (state = 'no_effect') as n_no_effect,
+    round(sum(points4)::bigint / (count(*) * 10000.0::double), 4) as mean_overall, round(sum(agr)::bigint / (count(*) * 10000.0::double), 4) as mean_agr, round(sum(qual)::bigint / (count(*) * 10000.0::double), 4) as mean_qual, round(sum(ind)::bigint / (count(*) * 10000.0::double), 4) as mean_ind from links),
+  (select count(*) as n_papers, count(*) filter (is_preprint is null) as n_no_preprint, count(*) filter (coalesce(first_author, '') = '') as n_no_author, count(distinct coalesce(first_author, chr(1))) as n_authors from papers),
+  (select count(*) as n_things, count(*) filter (kind = 'protein' and coalesce(trim(uniprot_accession), '') = '') as n_proteins from things), (select count(*) as n_gaps from gaps_))"""
+
+
+def _graph(spark, sf_dir) -> dict:
+    f, p, t, m = (evidence(spark, sf_dir, n) for n in ("findings", "papers", "things", "meta"))
+    li = written(links.scored_links(f, p).withColumn("id", F.concat_ws("|", "src", "how", "dst")), "links")
+    # only own results stand behind a link; a claim's id may repeat here, so its papers come from the claims themselves
+    behind = links.own_results(f).groupBy("src", "how", "dst").agg(F.collect_set("paper").alias("papers"))
+    graph = li.join(behind, ["src", "how", "dst"], "left").withColumn("papers", F.coalesce("papers", F.array().cast("array<string>")))
+    return {"findings": f, "papers": p, "things": t, "meta": m, "links": li, "gaps": gaps.ranked_gaps(graph)}
+
+
+_VALUES = ["found", "read", "used", "n_verified", "n_unchecked", "n_mismatched", "n_links", "n_disputed", "n_agreed", "n_single", "n_no_effect", "n_gaps", "mean_overall", "n_things"]
+
+
+@query(_GRAPH + " " + " union all ".join(f"select '{i}' as id, cast({v} as double) as value, '{u}' as unit, coalesce(cast({v} as varchar) || ' {w}', 'not recorded') as display, '{d}' as direction, '{','.join(sorted(a))}' as assumption_ids from fig" for (i, _, u, w, _, d, a), v in zip(contract.METRICS, _VALUES, strict=True)))
 def metrics(spark, sf_dir):
-    return audit.metrics(evidence(spark, sf_dir, "findings"), _sparse(spark, sf_dir), table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"), evidence(spark, sf_dir, "papers"))
+    return audit.metrics(_graph(spark, sf_dir)).select("id", "value", "unit", "display", "direction", *_joined("assumption_ids"))
+
+
+@query(_GRAPH + """, behind as (select state, unnest(string_split(concat_ws(',', yes_ids, no_ids, ne_ids), ',')) as id from links)
+select metric, count(*) as n from (select distinct case when quote_verified then 'metric.findings_verified' when quote_verified is false then 'metric.findings_quote_mismatch' else 'metric.findings_unverified' end as metric, id from findings
+  union all select distinct case state when 'disagreed' then 'metric.relationships_disputed' when 'agreed' then 'metric.relationships_agreed' when 'no_effect' then 'metric.relationships_no_effect' else 'metric.relationships_single_source' end, id from behind where id <> '') group by metric""")
+def metric_evidence(spark, sf_dir):
+    return audit.metric_evidence(_graph(spark, sf_dir)).groupBy("metric").agg(F.count("*").alias("n"))
+
+
+@query(_GRAPH + f""" select position, id, value, inputs, assumption_ids from (select * from fig), lateral (values
+ (1, 'step.search', cast(found as double), '["first query","second query"]|4|"standard"'), (2, 'step.screen', used, found || '|null'), (3, 'step.quote_verification', n_verified, (n_findings + 3) || '|0'),
+ (4, 'step.entity_resolution', n_things, n_things || ''), (5, 'step.link_assembly', n_links, n_findings || ''), (6, 'step.confidence.agreement', mean_agr, n_links || ''), (7, 'step.confidence.evidence_quality', mean_qual, n_papers || ''),
+ (8, 'step.confidence.independence', mean_ind, n_authors || ''), (9, 'step.confidence.overall', mean_overall, '0.4|0.4|0.2'), (10, 'step.gap_ranking', n_gaps, n_links || '|' || '{json.dumps(contract.GAP_RANKING_CONSTANTS, sort_keys=True)}'), (11, 'step.stop', used, '"budget"|true')) v(position, id, value, inputs)
+ join (values {", ".join(f"('{step[0]}', '{','.join(step[6])}')" for step in contract.STEPS)}) w(step_id, assumption_ids) on step_id = id""")
+def steps(spark, sf_dir):
+    out = audit.steps(_graph(spark, sf_dir))
+    return out.select("position", "id", "value", F.array_join(F.transform("inputs", lambda x: x["value"]), "|").alias("inputs"), *_joined("assumption_ids"))
+
+
+@query(" union all ".join(f"select '{o}' as output_path, '{','.join(i)}' as input_paths" for o, i, _ in contract.LINEAGE))
+def lineage(spark, sf_dir):
+    return audit.lineage(spark.range(1)).select("output_path", *_joined("input_paths"))
 
 
 @query(_SPARSE + " select count(*) as n, min(points4) / 10000 as low, cast(sum(points4) as bigint) / (count(*) * 10000.0::double) as mean, max(points4) / 10000 as high from links")
@@ -477,30 +555,83 @@ def uncertainty_range(spark, sf_dir):
     return audit.uncertainty(_sparse(spark, sf_dir))
 
 
-@query(_SPARSE.replace("findings as (", "things as (" + sql("things").split("things as (", 1)[1] + ", findings as (", 1) + """, counts as (
- select 'HEURISTIC_CONFIDENCE' as code, 'info' as severity, 1 as n union all select 'UNVERIFIED_QUOTE', 'medium', count(*) filter (quote_verified is not true) from findings union all select 'QUOTE_MISMATCH', 'high', count(*) filter (quote_verified is false) from findings
- union all select 'EMPTY_EVIDENCE', 'high', case when count(*) = 0 then 1 else 0 end from findings union all select 'SINGLE_SOURCE_LINKS', 'medium', count(*) filter (state = 'single_source') from links union all select 'DISPUTED_LINKS', 'medium', count(*) filter (state = 'disagreed') from links
- union all select 'PROTEINS_WITHOUT_ACCESSION', 'low', count(*) filter (kind = 'protein' and coalesce(trim(uniprot_accession), '') = '') from things union all select 'NO_DISEASE_NODE', 'low', case when count(*) filter (kind = 'disease') = 0 then 1 else 0 end from things
- union all select 'RETRACTED_SOURCE', 'high', count(*) filter (retracted) from papers union all select 'PREPRINT_STATUS_UNRECORDED', 'low', count(*) filter (is_preprint is null) from papers union all select 'INDEPENDENCE_OVERSTATED', 'medium', count(*) filter (coalesce(trim(first_author), '') = '') from papers
- union all select 'SOURCE_ID_MISSING', 'medium', count(*) filter (coalesce(trim(doi), '') = '' and coalesce(trim(pmid), '') = '') from papers) select code, severity, cast(n as bigint) as n from counts where n > 0""")
+def _limit_sql(code: str, when: str, *parts: str) -> str:
+    severity, path, form = contract.LIMITATIONS[code]
+    pieces = [f"'{x.replace(chr(39), chr(39) * 2)}'" for x in form.split("%s")]
+    message = " || ".join(x for pair in zip(pieces, [f"coalesce(cast(({p}) as varchar), '')" for p in parts] + [None], strict=True) for x in pair if x)
+    return f"select '{code}' as code, '{severity}' as severity, {message} as message, '{path}' as field_path from fig where {when}"
+
+
+_LIMITS = [
+    ("UNVERIFIED_QUOTE", "n_unchecked > 0", "n_unchecked", "n_findings"),
+    ("QUOTE_MISMATCH", "n_mismatched > 0", "n_mismatched", "select string_agg(id, ', ' order by id) from (select id from findings where quote_verified is false order by id limit 8)"),
+    ("QUOTES_DISCARDED", "no_quote_discarded > 0", "3"),
+    ("EMPTY_EVIDENCE", "n_findings = 0"),
+    ("YEARS_NOT_SPECIFIED", "years is null"),
+    ("DEFAULTS_APPLIED", "true", "'depth: standard, years: all (not supplied)'"),
+    ("UNTAGGED_VALUE", "true", "concat_ws(', ', case when n_verified = 0 then 'metric.findings_verified' end, case when n_unchecked = 0 then 'metric.findings_unverified' end, case when n_mismatched = 0 then 'metric.findings_quote_mismatch' end, 'metric.entities')"),
+    ("HEURISTIC_CONFIDENCE", "true"),
+    ("TRUNCATED_SEARCH", "truncated", "stop_reason"),
+    ("COVERAGE_INCOMPLETE", "stop_reason <> 'complete'", "stop_reason"),
+    ("SINGLE_SOURCE_LINKS", "n_single > 0", "n_single", "n_links"),
+    ("DISPUTED_LINKS", "n_disputed > 0", "n_disputed"),
+    ("PROTEINS_WITHOUT_ACCESSION", "n_proteins > 0", "n_proteins"),
+    ("INTERVENTIONS_WITHOUT_TARGET", "(select count(*) from aimless) > 0", "select count(*) from aimless"),
+    ("NO_DISEASE_NODE", "not exists (select 1 from things where kind = 'disease')"),
+    ("RETRACTED_SOURCE", "exists (select 1 from papers where retracted)"),
+    ("INTERPRETABILITY_PARTIAL", "n_papers > 0", "n_papers", "n_papers"),
+    ("ROUND_PARTIAL", "status = 'partial'"),
+    ("ROUND_ERROR", "true", "'gone away'"),
+    ("COVERAGE_NOT_RECORDED", "used is null", "'coverage.used'"),
+    ("LIMITS_NOT_RECORDED", "max_papers is null"),
+    ("INDEPENDENCE_OVERSTATED", "n_no_author > 0", "n_no_author", "n_papers"),
+    ("DANGLING_REFERENCE", "(select count(*) from lost) > 0", "select count(*) from lost", "select string_agg(id, ', ' order by id) from (select id from lost order by id limit 10)"),
+    ("UNKNOWN_VALUE", "true", "8", "'assumption.default.depth, assumption.default.years, assumption.limits.max_papers, assumption.years, metric.papers_used, step.screen, step.stop'"),
+    ("PREPRINT_STATUS_UNRECORDED", "n_no_preprint > 0", "n_no_preprint", "n_papers"),
+]
+
+
+def _limits_sql() -> str:
+    parts = [_limit_sql(code, when, *[x if code != "UNKNOWN_VALUE" or x != "8" else "7" for x in parts]) for code, when, *parts in _LIMITS]
+    severity, path, form = contract.LIMITATIONS["SOURCE_ID_MISSING"]
+    bare = f"select 'SOURCE_ID_MISSING', '{severity}', replace('{form}', '%s', paper), replace('{path}', '%s', paper) from (select distinct f.paper from findings f left join papers p on p.id = f.paper where {_DOI} = '' and trim(coalesce(pmid, '')) = '')"
+    return " union all ".join([*parts, bare])
+
+
+@query(_GRAPH + """, lost as (select src as id from findings where src not in (select id from things) union select dst from findings where dst not in (select id from things) union select paper from findings where paper not in (select id from papers)),
+ aimless as (select id from things where kind = 'small_molecule' and id in (select src from links union select dst from links) and id not in (select src from links where dst in (select id from things where kind = 'protein'))) """ + _limits_sql())
 def limitations(spark, sf_dir):
-    return audit.limitations(evidence(spark, sf_dir, "findings"), _sparse(spark, sf_dir), evidence(spark, sf_dir, "things"), evidence(spark, sf_dir, "papers"))
+    return audit.limitations(_graph(spark, sf_dir))
 
 
-_WHAT_IF = """, alt as (select src, how, dst, qual, ind, ne, points4, state, case when y >= no_ then y else y + 1 end as y, case when y >= no_ then no_ + 1 else no_ end as no_ from links where y + no_ > 0),
- alt2 as (select *, cast(case when y + no_ = 0 then 0 when y + no_ = 1 then 5000 else (20000 * y + y + no_) // (2 * (y + no_)) end as bigint) as agr from alt)
- select src, how, dst, points4 / 10000 as overall, state, cast((8 * agr + 8 * qual + 4 * ind + 10) // 20 as bigint) / 10000 as overall_if, case when y = 0 and no_ = 0 and ne > 0 then 'no_effect' when y > 0 and no_ > 0 then 'disagreed' when y > 1 or no_ > 1 then 'agreed' else 'single_source' end as state_if
- from alt2 order by points4 desc, src, how, dst limit 20"""
+_RESCORE = """, best as (select * from lf order by points4 desc, id limit 1), single as (select * from lf where state = 'single_source' order by points4 desc, id limit 1),
+cases as (select 'no' as what, * from best union all select 'yes', * from single),
+first_ as (select c.what, coalesce(any_value(p.study_type), 'unknown') as study from cases c left join findings f on f.id = string_split(concat_ws(',', c.yes_ids, c.no_ids, c.ne_ids), ',')[1] left join papers p on p.id = f.paper group by c.what),
+own_ as (select c.what, count(r.id) as n, coalesce(sum(r.points), 0) as pts from cases c left join rated r on r.src = c.src and r.how = c.how and r.dst = c.dst and r.is_own_result group by c.what),
+scored as (select c.*, study, own_.n as on_, case c.what when 'yes' then y + 1 else y end as y2, case c.what when 'no' then no_ + 1 else no_ end as n2, pts + 100 * (select q from (values ('meta_analysis', 100), ('clinical_trial', 90), ('human_cohort', 80), ('animal', 60), ('test_tube', 50), ('computational', 40), ('review', 30), ('unknown', 40)) v(k, q) where k = study) as pts2
+  from cases c join first_ using (what) join own_ using (what)),
+terms2 as (select *, case when y2 + n2 = 1 then 5000 else (20000 * y2 + y2 + n2) // (2 * (y2 + n2)) end as agr2, (2 * pts2 + on_ + 1) // (2 * (on_ + 1)) as qual2, case when np = 0 then 0 else (20000 * na + np) // (2 * np) end as ind2 from scored)
+select case what when 'no' then 'One further ' || study || ' study by a different group reports the opposite direction for ' || t.id || ' (' else 'One independent replication of ' || t.id || ' (' end || coalesce(a.name, src) || ' --' || how || '--> ' || coalesce(b.name, dst) || ')' || case what when 'no' then '.' else ' by a different first author.' end as change,
+  'state ' || state || ' -> ' || case when y2 > 0 and n2 > 0 then 'disagreed' when y2 > 1 or n2 > 1 then 'agreed' else 'single_source' end || ', heuristic confidence ' || cast(points4 / 10000 as varchar) || ' -> ' || cast(cast((8 * agr2 + 8 * qual2 + 4 * ind2 + 10) // 20 as bigint) / 10000 as varchar) as result
+from terms2 t left join things a on a.id = src left join things b on b.id = dst
+union all select 'The literature search is re-run without the corpus limits in `coverage.limits`.', 'unknown -- 7 of ' || found || ' papers found were read this round' from meta"""
 
 
-@query(_LINKS + _WHAT_IF)
+@query(_GRAPH.replace(_GAP_TAIL, _GAP_TAIL.replace("best as", "pairs_ as").replace("from best", "from pairs_")) + _RESCORE)
 def counterfactual_rescore(spark, sf_dir):
-    return audit.counterfactuals(links.link_measures(evidence(spark, sf_dir, "findings"), evidence(spark, sf_dir, "papers")), 20)
+    return audit.counterfactuals(_graph(spark, sf_dir)).select("change", "result")
 
 
-@query(_LINKS + " select src, how, dst, axis, n from (select src, how, dst, 'yes' as axis, y as n from links union all select src, how, dst, 'no', no_ from links union all select src, how, dst, 'no_effect', ne from links)")
+@query(_GRAPH + """ select lf.id, coalesce(a.name, src) || ' --' || how || '--> ' || coalesce(b.name, dst) as label, case when yes_ids is null then '' else 'evidence.' || replace(yes_ids, ',', ',evidence.') end as supporting,
+ case when no_ids is null then '' else 'evidence.' || replace(no_ids, ',', ',evidence.') end as contradicting, case when ne_ids is null then '' else 'evidence.' || replace(ne_ids, ',', ',evidence.') end as no_effect from lf left join things a on a.id = src left join things b on b.id = dst""")
 def ledger_axes(spark, sf_dir):
-    return audit.ledger(_links(spark, sf_dir))
+    return audit.ledger(_graph(spark, sf_dir)).select("id", "label", *_joined("supporting", "contradicting", "no_effect"))
+
+
+@query(_GRAPH + " select a, c, via, routes, score from (select * from final order by score desc, a, c limit 50)")
+def gaps_of_links(spark, sf_dir):
+    """From claims to gaps in one plan."""
+    return _graph(spark, sf_dir)["gaps"].select("a", "c", "via", "routes", "score")
 
 
 @query(sql("findings") + " select count(*) filter (quote_verified) as verified, count(*) filter (quote_verified is not true) as unverified, count(*) filter (quote_verified is false) as mismatched, count(*) filter (quote_verified is null) as unchecked from findings")
@@ -545,7 +676,7 @@ def year_floor(spark, sf_dir):
     return p.where(text.years_floor(F.col("year"), 1996)).select("id", "year")
 
 
-@query("select o_orderkey as id, o_totalprice as score, true as truncated from orders order by o_totalprice desc, o_orderkey limit 50")
+@query("select o_orderkey as id, o_totalprice as score, (select count(*) from orders) > 50 as truncated from orders order by o_totalprice desc, o_orderkey limit 50")
 def tier_budget(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
     return search.budgeted(o, "deep", [F.desc("score"), "id"])
@@ -599,31 +730,46 @@ def slug_ids(spark, sf_dir):
     return audit.unique_slugs(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", ["p_partkey"]).select("p_partkey", "slug")
 
 
-@query(_GAP_LINKS + """, pairs as (select distinct a, c from wedges where a like 's%'), names as (select 's' || s_suppkey as id, s_name as name from supplier union all select 'n' || n_nationkey, n_name from nation)
+@query(_GAP_LINKS + """, pairs as (select distinct a, c from wedges), names as (select 's' || s_suppkey as id, s_name as name from supplier union all select 'n' || n_nationkey, n_name from nation)
 select a, c, coalesce(x.name, a) || ' ~ ' || coalesce(y.name, c) as label from pairs left join names x on x.id = a left join names y on y.id = c""")
 def gap_labels(spark, sf_dir):
     pairs = gaps.wedges(gaps.undirected_edges(_gap_links(spark, sf_dir))).select("a", "c").distinct()
     return audit.gap_labels(pairs, evidence(spark, sf_dir, "things").where("kind <> 'protein'")).select("a", "c", "label")
 
 
-@query(_SPARSE + """ select case when disputed > 0 then 'disputed' when agreed > 0 then 'supported' else 'preliminary' end as result, 'complete' as status, links || ' relationships from ' || findings || ' findings; 25 open gaps' as sentence, links, agreed, disputed, findings, 25 as gaps
-from (select count(*) as links, count(*) filter (state = 'agreed') as agreed, count(*) filter (state = 'disagreed') as disputed from links), (select count(*) as findings from findings)""")
+@query(_GRAPH + """ select 'Evidence graph: ' || n_links || ' relationships from ' || n_papers || ' papers' as title, case when n_disputed > 0 then 'EVIDENCE_MAPPED_DISPUTED' when n_single = n_links then 'EVIDENCE_MAPPED_SINGLE_SOURCE' else 'EVIDENCE_MAPPED' end as result, 'QUALIFIED' as status,
+ 'Read not recorded papers and mapped ' || n_links || ' relationships from ' || n_findings || ' quote-backed findings; ' || n_agreed || case n_agreed when 1 then ' is' else ' are' end || ' corroborated by more than one paper, ' || n_single || case n_single when 1 then ' rests' else ' rest' end || ' on a single paper, and ' || n_disputed || case n_disputed when 1 then ' is' else ' are' end || ' disputed.' as plain_language,
+ concat_ws(',', 'OBSERVED', case when n_gaps > 0 then 'INFERRED' end, 'MODELED', 'SYNTHETIC') as basis from fig""")
 def headline(spark, sf_dir):
-    return audit.headline(evidence(spark, sf_dir, "findings"), _sparse(spark, sf_dir), table(spark, sf_dir, "nation"))
+    return audit.headline(_graph(spark, sf_dir)).withColumn("basis", F.array_join("basis", ","))
 
 
-@query("select trim(split_part(note, ':', 1)) as field, note, count(*) as n from (select unnest(case event_id % 3 when 1 then ['ask: not given, new_question used', 'depth: not given, standard used', 'years: not given, no floor used'] when 0 then ['depth: not given, standard used', 'years: not given, no floor used'] else ['ask: not given, new_question used', 'years: not given, no floor used'] end) as note from events) group by all")
+@query(sql("meta") + f""" select * from (values {", ".join(f"('{i}', '{pt}', {v}, '{u}', false)" for (i, pt, u, _), v in zip(contract.ASSUMPTIONS, [chr(39) + '"standard"' + chr(39), "'?'", "'4'", "'?'", *(f"'{json.dumps(x, sort_keys=True)}'" for x in (contract.CONFIDENCE_WEIGHTS, {k: q / 100 for k, q in STUDY_QUALITY.items()}, contract.PREPRINT_PENALTY, True, contract.GAP_RANKING_CONSTANTS))], strict=True))},
+ ('assumption.default.depth', 'input.depth', '?', '?', true), ('assumption.default.years', 'input.years', '?', '?', true)) v(id, path, value, unit, synthetic)""")
 def assumptions(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    task = F.when(F.col("event_id") % 3 == 0, F.format_string('{"ask":"expand_node","target":"t%d"}', "user_id")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("about "), F.col("event_type"))).otherwise('{"target":"x","depth":"deep"}')
-    return audit.assumptions(search.requests(e.select("event_id", task.alias("task"))))
+    out = audit.assumptions({"findings": spark.range(1), "meta": evidence(spark, sf_dir, "meta")})
+    return out.select("id", "path", F.coalesce("value", F.lit("?")).alias("value"), F.coalesce("unit", F.lit("?")).alias("unit"), "synthetic")
+
 
+_CITES = r"\[\d+(?:[,–-]\s*\d+)*\]|\(\s*[A-Z]\pL+(?: et al\.)?,? \d{4}\s*\)|[A-Z]\pL+ and [A-Z]\pL+ showed|(?i:\b(has been shown|is known to|it is established that|previous work demonstrated)\b)"
+_HEDGED = r"(?i)\b(may|might|could|suggests|appears to|is thought to|potentially|we hypothesize|likely|consistent with|implicates|is associated with a possible)\b"
 
-@query(sql("findings", "papers", "things") + """ select f.id, src, dst, part, price, shipped, array_to_string(list_filter([case when not (contains(lower('"effect" of ' || dst), lower(coalesce(a.name, src))) or contains(lower('"effect" of ' || dst), lower(coalesce(b.name, dst)))) then 'no_entity' end, case when study_type = 'review' and is_own_result then 'review_own' end], lambda x: x is not null), ',') as broken
-from findings f left join papers p on p.id = f.paper left join things a on a.id = src left join things b on b.id = dst""".replace("src, dst, part, price, shipped, ", ""))
+
+@query(rf"""with b as (select *, (select count(*) from benchmark) as items from benchmark),
+c as (select d.doc_id, d.lang, d.text as source, case when d.doc_id % 3 = 0 then substr(d.text, 1, 60) else b.text end as quote, case when d.doc_id % 2 = 0 then 'the' else 'zz' end as a, case when d.doc_id % 5 = 0 then 'a' else 'of' end as z from documents d join b on b.item_id = d.doc_id % b.items),
+q as (select *, {_fold_sql("coalesce(quote, '')")} as fq, {_form_sql("coalesce(quote, '')")} as f, {_form_sql("coalesce(source, '')")} as t from c)
+select doc_id as id, array_to_string(list_filter([case when trim(coalesce(source, '')) <> '' and (f = '' or not contains(t, f)) then 'quote_not_in_source' end, case when trim(coalesce(quote, '')) = '' or regexp_matches(quote, '…|\.\.\.|\[\s*\.*\s*\]') then 'quote_not_contiguous' end,
+  case when not (contains(fq, a) and contains(fq, z)) then 'entity_not_named' end, case when not contains(fq, 'is') then 'verb_not_in_quote' end, case when lang <> 'en' and (lang = 'de' or regexp_matches(coalesce(quote, ''), '{_CITES}')) then 'not_own_result' end,
+  case when (lang = 'es') <> regexp_matches(coalesce(quote, ''), '{_HEDGED}') then 'hedge_mismatch' end, case when regexp_matches(coalesce(quote, ''), '(?i)\b(but not|whereas|while no effect was observed|in contrast)\b') then 'contrast_not_split' end], lambda x: x is not null), ',') as broken from q""")
 def rule_checks(spark, sf_dir):
-    p = evidence(spark, sf_dir, "papers").withColumn("source_text", F.lit(None).cast("string"))
-    return audit.rule_checks(evidence(spark, sf_dir, "findings"), p, evidence(spark, sf_dir, "things")).select("id", *_joined("broken"))
+    """Claims on documents: their own beginning or an item as the quote, common words as entities."""
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    claims = d.join(b.agg(F.count("*").alias("_items"))).withColumn("item_id", F.col("doc_id") % F.col("_items")).join(b.select("item_id", F.col("text").alias("item")), "item_id")
+    quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 60)).otherwise(F.col("item"))
+    f = claims.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("paper"), F.when(F.col("doc_id") % 2 == 0, "t1").otherwise("t2").alias("src"), F.when(F.col("doc_id") % 5 == 0, "t3").otherwise("t4").alias("dst"), F.lit("is").alias("how"), quote.alias("quote"), (F.col("lang") != "en").alias("is_own_result"), (F.col("lang") == "es").alias("hedged"))
+    p = d.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", "review").alias("study_type"), F.col("text").alias("source_text"))
+    things = spark.createDataFrame([("t1", "the"), ("t2", "ZZ"), ("t3", "a"), ("t4", "of")], "id string, name string")
+    return audit.rule_checks(f, p, things).select("id", *_joined("broken"))
 
 
 @query("select o_custkey, o_orderkey, cast((row_number() over (partition by o_custkey order by o_orderkey) - 1) // 5 as int) as pass from orders")
@@ -648,19 +794,19 @@ def registry_search(spark, sf_dir):
 _LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents)"
 
 
-@query(rf"with {_LINES} select doc_id, cast(line as int) as line, regexp_matches(s, '(?i)\b(may|might|could|suggest|suggests|suggested|appears|appear|possibly|potentially|likely|putative)\b') as hedged, regexp_matches(s, '\[\d+(?:[,–-]\s*\d+)*\]|\([A-Z]\pL+(?: et al\.)?,? \d{{4}}\)') as cites, left(trim(regexp_replace(regexp_replace(s, '[\p{{Cc}}\p{{Cf}}]+', ' ', 'g'), ' +', ' ', 'g')), 60) as snippet from lines")
+@query(rf"with {_LINES} select doc_id, cast(line as int) as line, regexp_matches(s, '{_HEDGED}') as hedged, regexp_matches(s, '{_CITES}') as cites, left(trim(regexp_replace(regexp_replace(s, '[\p{{Cc}}\p{{Cf}}]+', ' ', 'g'), ' +', ' ', 'g')), 60) as snippet from lines")
 def line_flags(spark, sf_dir):
     rows = search.lines(table(spark, sf_dir, "documents"))
     c = F.col("content")
     return rows.select("doc_id", "line", text.hedged(c).alias("hedged"), text.cites_others(c).alias("cites"), text.title_snippet(c).alias("snippet"))
 
 
-@query(r"with p as (select page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'), '[\s ]+', ' ', 'g')) as t from pages) select page_id, case when length(t) > 400 then rtrim(left(t, 399)) || '…' else t end as plain from p")
+@query(r"with p as (select page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '[\s ]+', ' ', 'g')) as t from pages) select page_id, case when length(t) > 400 then left(t, 399) || '…' else t end as plain from p")
 def plain_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.plain(F.col("html")).alias("plain"))
 
 
-@query("select least(a.n, 999999) as n_left, b.n as n_right, c.n as n_both, c.n / (a.n + b.n - c.n)::double as jaccard from (select count(*) as n from documents where contains(lower(text), 'licensed')) a, (select count(*) as n from documents where contains(lower(text), 'version')) b, (select count(*) as n from documents where contains(lower(text), 'licensed') and contains(lower(text), 'version')) c")
+@query("select a.n as n_left, b.n as n_right, c.n as n_both, c.n / (a.n + b.n - c.n)::double as jaccard from (select count(*) as n from documents where contains(lower(text), 'licensed')) a, (select count(*) as n from documents where contains(lower(text), 'version')) b, (select count(*) as n from documents where contains(lower(text), 'licensed') and contains(lower(text), 'version')) c")
 def query_overlap(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return search.overlap(search.bool_grep(d, ["licensed"]), search.bool_grep(d, ["version"]))
@@ -673,19 +819,30 @@ def chunked_state(spark, sf_dir):
     return state.chunked(rounds.renamed(f, ["part", "price", "shipped", "src"]), ["id"]).groupBy("round", "chunk").agg(F.count("*").alias("n"))
 
 
-@query()
+_FOLD = sql("papers", "findings") + f""", keyed as (select *, cast(substr(id, 2) as bigint) as num, {_KEY} as key from papers),
+merged as (select 'p' || key as id, coalesce(arg_min(first_author, num) filter (coalesce(first_author, '') <> ''), arg_min(first_author, num)) as first_author, arg_min(study_type, num) filter (coalesce(study_type, '') <> '') as study_type, bool_or(is_preprint) as is_preprint, min(num) as num from keyed group by key),
+placed as (select f.* replace ('p' || key as paper, part as dst), row_number() over (partition by key, src, part, how, says order by round > 4, f.id, part, price, shipped) as copy from findings f join keyed k on k.id = f.paper),
+kept as (select * from placed where copy = 1), new_ as (select count(*) as n from placed where round > 4),
+""" + _MEASURES.replace("from findings f left join papers p", "from kept f left join merged p").replace("p.id as known", "p.id as known").replace("coalesce(first_author, p.id)", "coalesce(nullif(first_author, ''), p.id)") + "," + _MEASURES.replace("from findings f left join papers p", "from (select * from kept where round <= 4) f left join merged p").replace("rated", "rated0").replace("measures", "measures0").replace("terms", "terms0").replace("links as", "links0 as") + """,
+pair as (select l.state, l.points4, o.state as was, o.points4 as was4 from links l left join links0 o using (src, how, dst))
+select kind, n from (select 'findings_added' as kind, count(*) as n from kept where round > 4 union all select 'links_added', count(*) from pair where was is null union all select 'links_changed', count(*) from pair where state <> was or points4 <> was4
+  union all select 'no_quote_discarded', 0 union all select 'duplicates_dropped', (select n from new_) - (select count(*) from kept where round > 4) union all select 'quotes_unverified', count(*) from kept
+  union all select 'outcome:' || case when count(*) filter (state = 'disagreed' and was <> 'disagreed') > 0 then 'contradicted' when count(*) filter (was = 'single_source' and state = 'agreed') > 0 then 'promoted' when count(*) filter (was is null or state <> was or points4 <> was4) > 0 then 'new_evidence' else 'nothing_new' end, 1 from pair)"""
+
+
+@query(_FOLD)
 def fold_round(spark, sf_dir):
-    """Two rounds folded one after the other: what the second one did, with counts and outcome."""
+    """Two rounds folded one after the other: what the second one did to claims and links, with counts and outcome."""
     from claimloom.plans import fold
 
     f = evidence(spark, sf_dir, "findings").withColumn("dst", F.col("part"))
-    papers = evidence(spark, sf_dir, "papers").withColumns({"journal": F.lit(None).cast("string"), "source_sha256": F.lit(None).cast("string"), "source_text": F.lit(None).cast("string")})
+    f = rounds.dense_numbers(f, ["id", "part", "price", "shipped"]).withColumnRenamed("number", "ord")
+    papers = evidence(spark, sf_dir, "papers").withColumn("ord", F.substring("id", 2, 20).cast("long"))
     things = evidence(spark, sf_dir, "things").where("kind <> 'protein'").unionByName(f.select(F.col("part").alias("id"), F.concat(F.lit("part "), "part").alias("name"), F.lit("protein").alias("kind"), F.lit(None).cast("string").alias("uniprot_accession")).distinct())
-    things = things.withColumns({"aliases": F.array().cast("array<string>"), "mentions": F.lit(1), "ambiguity": F.lit(None).cast("array<string>")})
-    part = lambda low, high: {"findings": f.where(F.col("round").between(low, high)).drop("round", "quote_verified"), "papers": papers, "things": things}
+    part = lambda low, high: {"findings": f.where(F.col("round").between(low, high)).drop("round", "quote_verified", "part", "price", "shipped"), "papers": papers, "things": things}
     empty = {t: spark.createDataFrame([], s) for t, s in state.TABLES.items()}
     one = fold.fold(empty, part(1, 4), 1)
-    two = fold.fold(one, part(5, 7), 2)
-    told = two["delta"].groupBy("kind").agg(F.count("*").alias("n"))
+    two = fold.fold(one, part(5, 10**6), 2)
+    told = two["delta"].where("kind not like 'gaps%'").groupBy("kind").agg(F.count("*").alias("n"))
     c = two["counts"].select(F.explode(F.array(*(F.struct(F.lit(x).alias("kind"), F.col(x).alias("n")) for x in ("no_quote_discarded", "duplicates_dropped", "quotes_unverified")))).alias("c")).select("c.*")
     return told.unionByName(c).unionByName(two["outcome"].select(F.concat(F.lit("outcome:"), "outcome").alias("kind"), F.lit(1).cast("long").alias("n")))

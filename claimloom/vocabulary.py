@@ -43,8 +43,10 @@ TARGET_KINDS = ["protein", "gene"]
 # Verbs that state a relationship.
 RELATIONS = ["inhibits", "activates", "binds", "suppresses", "increases", "decreases", "causes", "drives", "treats", "associated_with"]
 
-THINGS = "id string, name string, kind string, aliases array<string>, mentions int, uniprot_accession string, gene_symbol string, resolved_by string, ambiguity array<string>, merged_from array<struct<name:string,via:string>>"
+THINGS = "id string, name string, kind string, aliases array<string>, mentions int, uniprot_accession string, gene_symbol string, resolved_by string, ambiguity array<string>, merged_from array<struct<name:string,via:string>>, round int"
 PAPERS = "id string, doi string, pmid string, title string, year int, journal string, first_author string, study_type string, is_preprint boolean, retracted boolean, round int, source_sha256 string, source_text string"
 FINDINGS = "id string, paper string, src string, how string, dst string, says string, quote string, quote_verified boolean, section string, setting string, is_own_result boolean, hedged boolean, confidence double, flags array<string>, round int"
 LINKS = "id string, src string, how string, dst string, state string, basis string, overall double, label string, agreement double, evidence_quality double, independence double, yes array<string>, no array<string>, no_effect array<string>, why string, changed_in_round int"
-GAPS = "id string, a string, c string, via string, note string, confidence double, searched_in_round int"
+META = "schema_version string, graph_id string, question string, round int, status string, generated_at string, error string, found int, read int, used int, figures_read int, truncated boolean, stop_reason string, depth string, years string, max_papers int, max_queries int, queries array<struct<q:string,tool:string,search_id:string,n_results:int>>, defaults_applied array<string>, no_quote_discarded long, duplicates_dropped long, quotes_unverified long, link_seq long, gap_seq long, proteins_without_accession_count long, interventions_without_target_count long, has_disease_node boolean"
+ROUNDS = "n int, ask string, target string, depth string, papers_added long, outcome string"
+GAPS = "id string, a string, c string, via string, implied_by array<string>, note string, confidence double, searched_in_round int"
