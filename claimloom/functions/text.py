@@ -175,7 +175,8 @@ def clauses(c: Column) -> Column:
 
 
 def _heading(c: Column) -> Column:
-    return F.lower(F.trim(_or_blank(c)))
+    """A heading in small letters, without its number."""
+    return F.lower(F.trim(F.regexp_replace(_or_blank(c), r"^\s*\d+(\.\d+)*\.?\s+", "")))
 
 
 def section_of(heading: Column) -> Column:

@@ -83,9 +83,8 @@ def quote_summary(findings: DataFrame) -> DataFrame:
 
 def _meta(graph: dict[str, DataFrame]) -> DataFrame:
     """The graph's one row of meta, null where something is not recorded."""
-    meta = graph.get("meta")
-    if meta is None:
-        meta = graph["findings"].sparkSession.range(1).select()
+    one = graph["findings"].sparkSession.range(1).select()
+    meta = one.join(graph["meta"], F.lit(True), "left") if "meta" in graph else one
     kinds = {f.split(" ", 1)[0]: f.split(" ", 1)[1] for f in META.replace("array<struct<q:string,tool:string,search_id:string,n_results:int>>", "array<string>").split(", ")}
     have = dict(meta.dtypes)
     asked = {"queries": F.transform("queries", lambda q: q["q"])} if have.get("queries", "").startswith("array<struct") else {}

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import audit, quality, rounds, search
@@ -22,9 +23,18 @@ def test_directory_hash_follows_names_and_content(spark, tmp_path):
 
 def test_shown_graphs(spark, tmp_path):
     root = f"file://{tmp_path}"
-    state.save_state({"gaps": spark.createDataFrame([("g1", "t1", "t2", "t3", "", 0.1, None)], state.TABLES["gaps"])}, f"{root}/g_1")
+    state.save_state({"gaps": spark.createDataFrame([("g1", "t1", "t2", "t3", ["L1"], "", 0.1, None)], state.TABLES["gaps"])}, f"{root}/g_1")
     assert state.shown(spark, root, "g_1")["gaps"].count() == 1
-    assert state.shown(spark, root, "g_2")["meta"].head().error == "GRAPH_NOT_FOUND"
+    shown = state.shown(spark, root, "g_1")
+    assert shown["metrics"].count() == 14 and shown["headline"].head().result == "NO_EVIDENCE_FOUND"
+    lost = state.shown(spark, root, "g_2")
+    assert lost["meta"].head().error == "graph 'g_2' not found in memory"
+    head, first = lost["headline"].head(), lost["limitations"].head()
+    assert (head.result, head.status, head.basis) == ("GRAPH_UNAVAILABLE", "FAILED", ["INFERRED"])
+    assert head.plain_language == "This round produced no graph: graph 'g_2' not found in memory"
+    assert (first.code, first.severity, first.field_path) == ("GRAPH_NOT_FOUND", "ERROR", "output.error")
+    other = state.abstention(spark, "g_3", "no answer", request={"round": 4, "found": 3})
+    assert other["limitations"].head().code == "ROUND_NOT_SERVED" and other["meta"].head().found == 3
 
 
 def test_answers_join_uses_with_requests(spark):
@@ -36,23 +46,21 @@ def test_answers_join_uses_with_requests(spark):
 
 
 def test_rule_checks(spark):
-    f = spark.createDataFrame([("f1", "p1", "t1", "t2", "Alpha hits Beta", True), ("f2", "p1", "t1", "t1", "", True), ("f3", "p2", "t1", "t2", "nobody", True)], "id string, paper string, src string, dst string, quote string, is_own_result boolean")
-    p = spark.createDataFrame([("p1", "animal", "we saw Alpha hits Beta here"), ("p2", "review", "other text")], "id string, study_type string, source_text string")
+    ddl = "id string, paper string, src string, dst string, how string, quote string, is_own_result boolean, hedged boolean"
+    rows = [
+        ("f1", "p1", "t1", "t2", "hits", "Alpha hits Beta", True, False),
+        ("f2", "p1", "t1", "t2", "hits", "", True, False),
+        ("f3", "p2", "t1", "t2", "binds", "Alpha may bind nobody", True, False),
+        ("f4", "p1", "t1", "t2", "hits", "Alpha hits Beta ... but not Gamma [14]", True, True),
+        ("f5", "p3", "t1", "t2", "hits", "Alpha hits Beta (Smith et al., 2019)", False, False),
+    ]
+    p = spark.createDataFrame([("p1", "animal", "we saw Alpha hits Beta here"), ("p2", "review", "other text"), ("p3", "animal", None)], "id string, study_type string, source_text string")
     t = spark.createDataFrame([("t1", "Alpha"), ("t2", "Beta")], "id string, name string")
-    got = {r.id: r.broken for r in audit.rule_checks(f, p, t).collect()}
-    assert got["f1"] == [] and set(got["f2"]) >= {"no_quote", "self_loop"} and set(got["f3"]) == {"not_in_text", "no_entity", "review_own"}
-
-
-def test_headlines_and_steps(spark):
-    f = spark.createDataFrame([("f1",)], "id string")
-    li = spark.createDataFrame([("agreed",)], "state string")
-    one = audit.headline(f, li, f).head()
-    assert (one.result, one.sentence) == ("supported", "1 relationship from 1 finding; 1 open gap")
-    assert audit.headline(f.limit(0), li.limit(0), f.limit(0)).head().result == "no_evidence_retrieved"
-    counts = spark.createDataFrame([("search", 71)], "step string, n long")
-    rows = audit.steps(counts).orderBy("position").collect()
-    assert len(rows) == 11 and rows[0].n == 71 and rows[1].n is None
-    assert audit.lineage(f).count() == 9
+    got = {r.id: r.broken for r in audit.rule_checks(spark.createDataFrame(rows, ddl), p, t).collect()}
+    assert got["f1"] == got["f5"] == []
+    assert set(got["f2"]) == {"quote_not_in_source", "quote_not_contiguous", "entity_not_named", "verb_not_in_quote"}
+    assert set(got["f3"]) == {"quote_not_in_source", "entity_not_named", "verb_not_in_quote", "not_own_result", "hedge_mismatch"}
+    assert set(got["f4"]) == {"quote_not_in_source", "quote_not_contiguous", "not_own_result", "hedge_mismatch", "contrast_not_split"}
 
 
 def test_budget_marks_truncation(spark):
@@ -117,17 +125,21 @@ def test_coverage_row(spark):
     assert (r.quotes_unverified, r.proteins_without_accession_count, r.interventions_without_target_count, r.has_disease_node, r.confidence_profile.hedged_but_confident) == (1, 1, 1, False, 1)
 
 
-def test_report_and_structural_limitations(spark):
-    ddl = "graph_id string, status string, error string, found int, read int, used int, truncated boolean, n_queries int, max_papers int, depth string, years string, defaults_applied array<string>, no_quote_discarded int"
-    rows = [("g1", "complete", None, 71, 7, 2, False, 3, 25, "standard", "2010", [], 0), ("g2", "empty", None, None, None, None, True, None, None, None, None, ["ask: x"], 2), ("g3", "failed", "no answer", 5, None, 1, None, 1, 10, "quick", "2010", None, None)]
-    got = {}
-    for r in audit.report_limitations(spark.createDataFrame(rows, ddl)).collect():
-        got.setdefault(r.graph_id, []).append(r.code)
-    assert "g1" not in got and got["g2"][0] == "ROUND_EMPTY" and got["g2"][-1] == "DEFAULTS_APPLIED" and len(got["g2"]) == 9
-    assert got["g3"] == ["ROUND_ERROR", "COVERAGE_INCOMPLETE"]
-    f = spark.createDataFrame([("f1", "p1", "t1", "t9", "hits")], "id string, paper string, src string, dst string, how string")
-    li = spark.createDataFrame([("t1", "t9", ["f1"], [], [])], "src string, dst string, yes array<string>, no array<string>, no_effect array<string>")
-    g = spark.createDataFrame([], "a string, c string")
-    t = spark.createDataFrame([("t1", "method")], "id string, kind string")
-    p = spark.createDataFrame([("p1", "odd", None)], "id string, study_type string, source_sha256 string")
-    assert {r.code: r.n for r in audit.structural_limitations(f, li, g, t, p).collect()} == {"DANGLING_REFERENCE": 2, "INTERVENTIONS_WITHOUT_TARGET": 1, "UNKNOWN_VALUE": 2, "INTERPRETABILITY_PARTIAL": 1}
+def test_written_only_if_changed(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    put = lambda rows: state.written_if_changed(spark, lambda p: state.emit(spark.createDataFrame(rows, "id int"), p, ["id"]), path)
+    assert [put([(1,), (2,)]), put([(2,), (1,)]), put([(2,)])] == [True, False, True]
+
+
+def test_graph_ids_probe_the_catalog(spark):
+    mine = state.minted_graph_id(spark.createDataFrame([], "graph_id string, question string"), "why?")
+    taken = spark.createDataFrame([(mine, "another question")], "graph_id string, question string")
+    assert mine.startswith("g_") and state.minted_graph_id(taken, "why?") != mine
+    assert state.minted_graph_id(spark.createDataFrame([(mine, "why?")], "graph_id string, question string"), "why?") == mine
+
+
+def test_numbers_that_are_not_finite_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([("g1", float("nan"))], "id string, confidence double")
+    with pytest.raises(Exception, match="not finite"):
+        state.save_state({"gaps": df}, f"file://{tmp_path}/g")
+    assert not (tmp_path / "g").exists()

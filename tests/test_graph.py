@@ -165,7 +165,11 @@ def test_entities_match_by_accession_then_name_unless_accessions_differ(spark):
 def test_sequential_resolution_lets_later_rows_meet_new_ones(spark):
     rows = [("g", 1, "a", "Foo", ["bar"], None), ("g", 2, "b", "BAR", ["baz"], None), ("g", 3, "c", "baz", [], "P1"), ("g", 4, "d", "foo", [], "P2"), ("g", 5, "e", "zzz", [], "p1"), ("h", 1, "f", "Foo", None, None)]
     df = spark.createDataFrame(rows, "graph_id string, ord int, id string, name string, aliases array<string>, uniprot_accession string")
-    assert {r.id: r.entity for r in identity.resolved(df).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "a", "f": "f"}
+    got = identity.resolve(df, df.limit(0), "graph_id").collect()
+    assert {r.id: r.entity_id for r in got} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "a", "f": "f"}
+    made = {r.id: r.made for r in got}
+    assert (made["a"].aliases, made["a"].mentions, made["a"].uniprot_accession) == (["bar", "baz", "zzz"], 4, "P1") and made["f"] is None
+    assert [(m.name, m.via) for m in made["a"].merged_from] == [("BAR", "name"), ("baz", "name"), ("zzz", "accession")]
 
 
 def test_accession_keeps_the_lowest_number_and_sums_mentions(spark):
@@ -173,8 +177,9 @@ def test_accession_keeps_the_lowest_number_and_sums_mentions(spark):
     things = spark.createDataFrame([("t10", "B", "gene", ["y"], 2, "P1", None), ("t2", "A", "gene", ["x"], None, "p1", None), ("t3", "C", "gene", [], 1, "P1", ["q"])], ddl)
     mapping = identity.coalesced_by_accession(things)
     assert {r.id: r.kept_id for r in mapping.collect()} == {"t10": "t2", "t2": "t2", "t3": "t3"}
-    r = identity.merged_things(things, mapping).where("id = 't2'").head()
-    assert (r.name, r.mentions, r.aliases, r.merged_names) == ("A", 3, ["x", "y"], ["B"])
+    (r,) = [r for r in identity.resolve(things.limit(0).withColumn("ord", F.lit(1)), things).collect() if r.id == "t2"]
+    # mentions that were never counted are none
+    assert (r.made.mentions, r.made.aliases, [tuple(m) for m in r.made.merged_from]) == (2, ["B", "x", "y"], [("B", "accession")])
 
 
 def test_dangling_references_are_reported(spark):
