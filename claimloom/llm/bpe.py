@@ -22,7 +22,7 @@ from claimloom.llm.common import fields, map_rows, texts
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pre-tokens that a Python worker remembers, in each of two generations (about 0.2 kB each).
-CACHE = 250_000
+CACHE = 150_000
 
 _NONE = 1 << 62
 

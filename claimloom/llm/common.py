@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from claimloom.sources.shared import dropped, shared_dir, written  # noqa: F401  for the operators here
 
 #: Bytes of text handed to a Python worker at once; bounds its memory whatever the row sizes are.
-ARROW_BYTES = "8m"
+ARROW_BYTES = "4m"
 
 
 def arrow_limits(spark: SparkSession) -> None:

@@ -233,13 +233,14 @@ def span_classifier(counts: dict[tuple[str, int], int]) -> dict[tuple[str, int],
 _CANDIDATES = "array<struct<kind:string,start:int,end:int,base:boolean,code:int>>"
 
 
-def _with_candidates(rows: DataFrame) -> DataFrame:
-    """`keep` as it is, and the candidates of `text`. rows: keep (any type), text."""
-    schema = T.StructType([rows.schema["keep"], *fields(f"candidates {_CANDIDATES}").fields])
+def _with_candidates(rows: DataFrame, with_text: bool = False) -> DataFrame:
+    """`keep` as it is, and the candidates of `text`. rows: keep (any type), text (which stays if asked)."""
+    names = ["keep", "text"] if with_text else ["keep"]
+    schema = T.StructType([*(rows.schema[n] for n in names), *fields(f"candidates {_CANDIDATES}").fields])
 
     def make():
         def step(cols):
-            return {"keep": cols["keep"], "candidates": [candidates(t or "") for t in cols["text"].to_pylist()]}
+            return {n: cols[n] for n in names} | {"candidates": [candidates(t or "") for t in cols["text"].to_pylist()]}
 
         return step
 
@@ -270,8 +271,9 @@ def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df`, all columns, with each personal span of the text replaced by [KIND]; overlapping spans
     become one, named after the first. Null texts stay null and empty ones empty; repeated rows give
     repeated rows, an empty table none. Columns of any name pass unchanged."""
-    rows = df.select(F.struct("*").alias("keep"), df[text_col].cast("string").alias("text"))
-    found = written(_with_candidates(rows), "pii")
+    others = [df[n] for n in df.columns if n != text_col] or [F.lit(True).alias("none")]
+    rows = df.select(F.struct(*others).alias("keep"), df[text_col].cast("string").alias("text"))
+    found = written(_with_candidates(rows, with_text=True), "pii")
     spans = F.array_sort(F.transform(_accepted(found), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def clean(text, spans):
@@ -291,5 +293,5 @@ def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
         return step
 
     schema = T.StructType([found.schema["keep"], T.StructField("text", T.StringType())])
-    out = map_rows(found.select("keep", F.col("keep")[text_col].cast("string").alias("text"), spans.alias("spans")), schema, make)
+    out = map_rows(found.select("keep", "text", spans.alias("spans")), schema, make)
     return out.select(*(F.col("text").cast(df.schema[n].dataType).alias(n) if n == text_col else F.col("keep")[n].alias(n) for n in df.columns))
