@@ -328,7 +328,7 @@ def _form_sql(c: str) -> str:
 
 
 #: Quotes in compatibility forms beside what they are composed to.
-_QUOTED = {-1: ("The ﬁnding  ＡＢ “holds” — in 5 µm", "The finding AB “holds” — in 5 μm"), -2: ("x\u00a0² ( Figure 5F )", "x 2 ( Figure 5F )"), -3: ("ＮＡＣ １２４ ３１", "NAC 124 31")}
+_QUOTED = {-1: ("The ﬁnding  ＡＢ “holds” — in 5 µm of every slice", "The finding AB “holds” — in 5 μm of every slice"), -2: ("x\u00a0² ( Figure 5F ) in cultured cells of a mouse", "x 2 ( Figure 5F ) in cultured cells of a mouse"), -3: ("ＮＡＣ １２４ ３１ was given to all of them", "NAC 124 31 was given to all of them")}
 _QUOTED_SQL = " union all ".join(f"select {i} as item_id, '{a}' as text, '{b}' as composed" for i, (a, b) in _QUOTED.items())
 
 
