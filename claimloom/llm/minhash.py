@@ -11,11 +11,12 @@
    uniform prior, falls below MISS.
 4. Survivors are confirmed on their full sets; only these links count.
 5. A bucket of more than SPLIT whose members are not all in one component yet is split by every other
-   band, and steps 2 to 4 are taken in each part. (A pair at 0.85 that shares one band shares no other
-   with a chance of 2e-9, one at 0.8 with 1e-6.)
-6. What is still open is compared in blocks of bounded size, pair against pair across components: first
-   by signatures alone; only texts with a surviving partner are then sent to the exact confirmation.
-   Confirmed links join components at once, so a block of n texts yields under n links.
+   band, and steps 2 to 4 are taken in each part. That joins most near copies at little cost; it decides
+   nothing, since step 6 still covers the bucket.
+6. Every bucket, of any size, whose members are still not all in one component is compared whole, in
+   blocks of bounded size, pair against pair across components: first by signatures alone; only texts
+   with a surviving partner are then sent to the exact confirmation. Confirmed links join components at
+   once, so a block of n texts yields under n links.
 7. Components come from alternating large-star and small-star steps, each written to the shared folder.
 
 Shingles are known by 64-bit hashes.
@@ -38,9 +39,14 @@ BANDS, ROWS, BATCH = 32, 4, 16
 HASHES = BANDS * ROWS
 #: The chance, at each batch, that a pair at the threshold is dropped.
 MISS = 1e-9
-#: Texts and bytes of text at most (beyond one text) in a block of an unresolved bucket.
+#: Texts and bytes of text at most (beyond one text) in a block of an unresolved bucket. Each member is
+#: sent once for every block, so beyond FEW blocks they are made wider, up to WIDE texts.
 BLOCK, BLOCK_BYTES = 1024, 16_000_000
-#: Members from which an unresolved bucket is split by the other bands before it is cut into blocks.
+FEW, WIDE = 8, 16_384
+#: Members that are compared with one another by early() first.
+MANY = 256
+#: Members from which an unresolved bucket is joined through the other bands before it is compared in blocks.
+#: It changes the cost only: the same links count on either side.
 SPLIT = 65_536
 #: Pairs that one copy of a popular text serves.
 SPREAD = 64
@@ -207,10 +213,10 @@ def components(edges: DataFrame) -> DataFrame:
 def _units(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Units of work inside buckets: bucket, i, j (a pair of blocks, or one with itself), set_id, root, block.
 
-    `members`: bucket, set_id, root. A bucket is cut into blocks of BLOCK texts and BLOCK_BYTES.
+    `members`: bucket, set_id, root. A bucket is cut into blocks of BLOCK to WIDE texts and BLOCK_BYTES.
     """
     m = members.join(sets.select("set_id", "bytes"), "set_id")
-    share = F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+    share = F.greatest(F.least(F.count("*") / BLOCK, F.lit(float(FEW))), F.count("*") / WIDE, F.sum("bytes") / BLOCK_BYTES)
     # dealt by hash, not by a window over the bucket: no task needs a whole bucket
     blocks = m.groupBy("bucket").agg((F.ceil(share) - 1).cast("int").alias("last"))
     m = m.join(blocks, "bucket").select("bucket", "set_id", "root", F.pmod(F.xxhash64("set_id"), F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
@@ -218,29 +224,42 @@ def _units(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 class _Unit:
-    """The members of one unit: rows of (set_id, root, block, signature)."""
+    """The members of one unit: rows of (set_id, root, block, signature), by block."""
 
     def __init__(self, head: tuple, rows: list[tuple]):
         self.ids = [r[0] for r in rows]
         self.parts = np.unique(np.array([r[1] for r in rows], np.int64), return_inverse=True)[1]
-        self.block = np.array([r[2] for r in rows]) if head[1] != head[2] else None
+        #: where the second of two blocks begins: members of the first meet those from there on
+        self.second = sum(r[2] == head[1] for r in rows) if head[1] != head[2] else None
         self.wide = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, HASHES)
+        self.tall = np.ascontiguousarray(self.wide[:, : 2 * BATCH].T) if len(rows) > MANY else None
 
     def partners(self, n: int, percent: int) -> np.ndarray:
         """Later members of another component (and another block) whose signature passes against n's."""
-        apart = self.parts[n + 1 :] != self.parts[n]
-        if self.block is not None:
-            apart &= self.block[n + 1 :] != self.block[n]
-        rest = n + 1 + np.flatnonzero(apart)
+        first = n + 1 if self.second is None else self.second if n < self.second else len(self.ids)
+        apart = self.parts[first:] != self.parts[n]
+        if len(apart) > MANY:
+            apart &= self.early(n, first, percent)
+        rest = first + np.flatnonzero(apart)
         return rest[surviving(self.wide[rest], np.broadcast_to(self.wide[n], (len(rest), HASHES)), percent)] if len(rest) else rest
 
+    def early(self, n: int, first: int, percent: int) -> np.ndarray:
+        """Whether the first two batches keep each member from `first` on against n: one minimum of all
+        of them at a time, so that nothing is gathered for pairs that go at once."""
+        same, stay = np.zeros(len(self.ids) - first, np.uint8), np.ones(len(self.ids) - first, bool)
+        for i, least in enumerate(least_matches(percent)[:2]):
+            for k in range(i * BATCH, (i + 1) * BATCH):
+                same += self.tall[k, first:] == self.tall[k, n]
+            stay &= same >= least
+        return stay
+
     def join(self, n: int, k: int) -> None:
         self.parts[self.parts == self.parts[k]] = self.parts[n]
 
 
 def _by_unit(rows: DataFrame, schema: str, make) -> DataFrame:
     """Rows of units (bucket, i, j, ...), whole units at a time, through make(head, rows) -> lists for `schema`."""
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "set_id")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "set_id")
     arrow_limits(rows.sparkSession)
     kind = fields(schema)
 
@@ -370,9 +389,8 @@ def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
         pivots = buckets.groupBy("bucket").agg(F.min("set_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
         return buckets.join(pivots, "bucket").where("set_id <> pivot")
 
-    def open_in(stars: DataFrame, found: DataFrame) -> DataFrame:
+    def still_open(m: DataFrame, found: DataFrame) -> DataFrame:
         """Members (bucket, band, set_id, root, n) of buckets of three or more in more than one component, one for each membership."""
-        m = stars.select("bucket", "band", "set_id").unionByName(stars.select("bucket", "band", F.col("pivot").alias("set_id")).distinct())
         m = m.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         once = m.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"))
         once = once.where("n > 2 and low <> high").groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
@@ -383,7 +401,8 @@ def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     stars = written(in_stars(banded(sets).select("set_id", "band", F.xxhash64("band", value).alias("bucket"))), "stars")
     links = confirmed(stars.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct())
     found = components(links)
-    open_ = open_in(stars, found)
+    members = stars.select("bucket", "band", "set_id").unionByName(stars.select("bucket", "band", F.col("pivot").alias("set_id")).distinct())
+    open_ = still_open(members, found)
     dropped(stars)
 
     large = open_.where(F.col("n") > SPLIT)
@@ -398,10 +417,9 @@ def _rooted(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
         links, last = written(links.unionByName(more), "links"), links
         dropped(last, more)
         found = components(links)
-        small = open_.where(F.col("n") <= SPLIT)
-        split, before = open_in(stars, found), open_
-        open_ = written(small.unionByName(split), "open")
-        dropped(stars, split, before)
+        # the whole buckets, not their parts: a pair may share no band but the bucket's own
+        before, open_ = open_, still_open(open_.select("bucket", "band", "set_id"), found)
+        dropped(stars, before)
 
     if not open_.isEmpty():
         more = _blocks(open_.select("bucket", "set_id", "root"), sets, texts_of, words, percent)

@@ -138,6 +138,36 @@ def test_large_open_buckets_are_split(spark, monkeypatch):
     check(spark, rows, 3, 85)
 
 
+@pytest.mark.parametrize("split", [65_536, 2])
+def test_a_pair_that_shares_one_band_is_linked_whatever_the_bucket_holds(spark, monkeypatch, split):
+    """Texts 1 and 2 are at exactly 0.8 and agree in band 3 only; text 3, linked with neither, heads its bucket."""
+    monkeypatch.setattr(minhash, "SPLIT", split)
+    text = "a806496 a649608 a238377 a603907 a598869 a271431 a432528 a883377"
+    rows = [(1, text), (2, text + " x14663"), (3, text + " y1133 y1134 y1135")]
+    sets = [minhash.shingles(t.encode(), 5) for _, t in rows]
+    bands = [minhash.signature(x).reshape(minhash.BANDS, minhash.ROWS) for x in sets]
+    assert np.flatnonzero((bands[0] == bands[1]).all(axis=1)).tolist() == [3] and (bands[2][3] == bands[0][3]).all()
+    assert min(sets, key=minhash.digest) is sets[2]
+    check(spark, rows, 5, 80)
+    assert {r.doc_id for r in minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("many", [256, 0])
+def test_partners_in_a_unit_of_one_or_two_blocks(monkeypatch, many):
+    monkeypatch.setattr(minhash, "MANY", many)
+    rng = np.random.default_rng(6)
+    wide = rng.integers(0, 1 << 32, (40, minhash.HASHES), dtype=np.uint32)
+    for k in range(1, 40):  # each agrees with the one before in a share of its minima
+        same = rng.random(minhash.HASHES) < rng.choice([0.5, 0.75, 0.9])
+        wide[k, same] = wide[k - 1, same]
+    root = [k // 3 * (k % 2) for k in range(40)]
+    for head, block in (((7, 2, 2), [2] * 40), ((7, 2, 5), [2] * 17 + [5] * 23)):
+        unit = minhash._Unit(head, [(k, root[k], block[k], wide[k].tobytes()) for k in range(40)])
+        for n in range(40):
+            want = [k for k in range(n + 1, 40) if root[k] != root[n] and (head[1] == head[2] or block[k] != block[n]) and len(minhash.surviving(wide[n : n + 1], wide[k : k + 1], 80))]
+            assert unit.partners(n, 80).tolist() == want
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(2)
     w = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
